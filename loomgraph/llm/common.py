@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def small(spark: SparkSession, fields: list[tuple[str, pa.DataType]], rows: list[tuple]) -> DataFrame:
+    """Rows of the driver as a table whose size the planner knows, so that it broadcasts it only below its threshold."""
+    cols = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields]))
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table that ``saved`` wrote, once nothing reads it any more."""
     spark = df.sparkSession

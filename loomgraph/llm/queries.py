@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import token_ids
-from loomgraph.llm.common import table
+from loomgraph.llm import line_dedup, media, mixing, token_ids, url_lists
+from loomgraph.llm.common import saved, table
 
 
 def tokenizer_path() -> str:
@@ -21,9 +22,35 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE r.owner <> k.doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE r.owner IS NULL OR r.owner = k.doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN r ON k.key = r.key GROUP BY k.doc_id
+"""
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.plan(docs).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(saved(media.store(table(spark, sf_dir, "documents")), "media"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_ids": op1_token_ids}
+    own = (op1_token_ids, url_lists.op3_url_lists, op4_line_dedup, op5_mixing, op9_media)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_lists": url_lists.OP3_SQL, "op4_line_dedup": OP4_SQL}
