@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,20 +97,26 @@ _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+#: With punctuation and control characters of ASCII as well: words are runs of letters, digits and all beyond ASCII.
+_IS_BREAK = np.zeros(256, bool)
+_IS_BREAK[:128] = [not chr(i).isalnum() for i in range(128)]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the white-space separated words (A-Z lower-cased) of all texts, and each text's number of words."""
+def word_hashes(texts: list[bytes], punctuation: bool = False, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of the words (A-Z lower-cased) of all texts, and each text's number of words.
+
+    Words are parted by white space, with ``punctuation`` by that of ASCII as well. For each length in ``prefixes`` two more
+    arrays follow: places of the words with more bytes than that, and hashes of their first bytes.
+    """
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    space = _IS_SPACE[buf]
+    space = (_IS_BREAK if punctuation else _IS_SPACE)[buf]
     prev = np.empty_like(space)
     prev[0], prev[1:] = True, space[:-1]
     starts = np.flatnonzero(~space & prev)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), *[np.zeros(0, t) for _ in prefixes for t in (np.int64, np.uint64)]
     ends = np.flatnonzero(space & ~prev)
-    # Horner's rule over the whole buffer by prefix sums of byte * P**-i would need inverses; weights by position do.
     keep = np.flatnonzero(~space)
     pos = (keep - np.repeat(starts, ends - starts)).astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -117,9 +124,47 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         first = np.zeros(len(starts), np.int64)
         np.cumsum((ends - starts)[:-1], out=first[1:])
         h = mix(np.add.reduceat(v, first))
+        more: list[np.ndarray] = []
+        if prefixes:
+            upto = np.append(np.uint64(0), np.cumsum(v, dtype=np.uint64))
+            for n in prefixes:
+                long = np.flatnonzero(ends - starts > n)
+                more += [long, mix(upto[first[long] + n] - upto[first[long]] + np.uint64(n) * np.uint64(0xA0761D6478BD642F))]
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(lens + 1, out=bounds[1:])
-    return h, np.diff(np.searchsorted(starts, bounds))
+    return h, np.diff(np.searchsorted(starts, bounds)), *more
+
+
+def groups(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about ``most`` bytes."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        if total and total + len(t) > most:
+            yield start, i
+            start, total = i, 0
+        total += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+class Lookup:
+    """Places of 64-bit hashes in a sorted array of distinct ones, -1 for others; a bit table answers for most of those."""
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.asarray(keys, np.uint64)
+        self.seen = np.zeros(1 << self.BITS, bool)
+        self.seen[(self.keys >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``h`` of those found, and their places in the array."""
+        at = np.flatnonzero(self.seen[(h >> np.uint64(64 - self.BITS)).astype(np.int64)])
+        if not len(at):
+            return at, at
+        k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        hit = self.keys[k] == h[at]
+        return at[hit], k[hit]
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:

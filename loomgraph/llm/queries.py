@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import line_dedup, media, mixing, token_ids, url_lists
+from loomgraph.llm import decontaminate, language_id, line_dedup, media, mixing, suffix_dedup, token_ids, toxicity, url_lists
 from loomgraph.llm.common import saved, table
 
 
@@ -22,6 +22,11 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -43,12 +48,27 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(docs).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.language_id(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(saved(media.store(table(spark, sf_dir, "documents")), "media"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).withColumnRenamed("doc", "doc_id").drop("th")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_ids, url_lists.op3_url_lists, op4_line_dedup, op5_mixing, op9_media)
+    own = (op1_token_ids, op2_toxicity, url_lists.op3_url_lists, op4_line_dedup, op5_mixing, op6_language_id, op7_suffix_dedup, op9_media, op10_decontamination)
     return {f.__name__: f for f in own}
 
 

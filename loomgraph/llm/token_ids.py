@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import NULL_ID, local_path, mix, order_id, partitions, scratch
+from loomgraph.llm.common import NULL_ID, groups, local_path, mix, order_id, partitions, scratch
 
 END_ID = 1
 MAGIC = b"LGID0001"
@@ -211,18 +211,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def groups(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about ``most`` bytes."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > most:
-            yield start, i
-            start, total = i, 0
-        total += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _ranges(docs: DataFrame, n: int) -> list[int]:
     """Upper bounds of doc_id ranges of about as many documents; reads that column only."""
     q = docs.select(order_id().alias("k")).where(F.col("k") != NULL_ID).agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
