@@ -99,6 +99,7 @@ def suffix_order(t: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
         k = first * (n + 3) + rank[both + 2]
         k2, z2 = k[: len(at2)], k[len(at2) :]
     before = before + (np.searchsorted(np.maximum.accumulate(k2), z2) if len(k2) else 0)
+    before = np.maximum.accumulate(before)  # names that were left equal order what agrees that far in one way here, in another there
     out = np.empty(n, np.int64)
     slot = before + np.arange(len(zero))
     out[slot] = zero

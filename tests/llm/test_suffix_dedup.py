@@ -38,6 +38,17 @@ def test_suffix_order(seed):
     assert S.suffix_order(np.array(t, np.int64), rounds=9).tolist() == want
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_suffix_order_to_a_depth(seed):
+    r = random.Random(seed)
+    part = [r.randint(1, 3) for _ in range(60)]
+    t = [x for _ in range(20) for x in [*part[r.randint(0, 9) :], r.randint(1, 3)]]
+    order = S.suffix_order(np.array(t, np.int64), rounds=2)
+    assert sorted(order.tolist()) == list(range(len(t)))
+    heads = [t[i : i + 9] for i in order.tolist()]
+    assert heads == sorted(heads)
+
+
 def corpus(seed):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdé") for _ in range(r.randint(1, 9)))
