@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages; each takes and returns documents, and is written and reread between."""
+"""A corpus pipeline of five stages; each takes and returns documents, and is written and reread between.
+
+Toxic documents go; of each class of near duplicates one document stays; copies of benchmark items go; sources are mixed
+to their target weights (documents may repeat); the mixture becomes token id shards with their index.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm.common import saved
+from loomgraph.llm import decontaminate, mixing, near_dup, token_ids, toxicity
+from loomgraph.llm.common import saved, table
+from loomgraph.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("not rejected").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.dedup(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows, _ = token_ids.token_ids(spark, docs, tokenizer_path())
+    return rows
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_ids", write_token_ids),
+]
 #: No stage's model, sketch or codec is expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 

@@ -77,6 +77,11 @@ def order_id(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
 
 
+def shown_id(col: str) -> Column:
+    """The doc_id of what ``order_id`` gave."""
+    return F.nullif(F.col(col), F.lit(NULL_ID))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, language_id, line_dedup, media, mixing, suffix_dedup, token_ids, toxicity, url_lists
-from loomgraph.llm.common import saved, table
+from loomgraph.llm import decontaminate, language_id, line_dedup, media, mixing, near_dup, suffix_dedup, token_ids, toxicity, url_lists
+from loomgraph.llm.common import saved, shown_id, table
 
 
 def tokenizer_path() -> str:
@@ -58,17 +58,22 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(shown_id("doc").alias("doc_id"), shown_id("class_doc").alias("class_id"), "n_shingles")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(saved(media.store(table(spark, sf_dir, "documents")), "media"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).withColumnRenamed("doc", "doc_id").drop("th")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(shown_id("doc").alias("doc_id"), "item_id", "score", "matches", "first_word", "last_word")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_ids, op2_toxicity, url_lists.op3_url_lists, op4_line_dedup, op5_mixing, op6_language_id, op7_suffix_dedup, op9_media, op10_decontamination)
+    own = (op1_token_ids, op2_toxicity, url_lists.op3_url_lists, op4_line_dedup, op5_mixing, op6_language_id, op7_suffix_dedup, op8_near_dup, op9_media, op10_decontamination)
     return {f.__name__: f for f in own}
 
 
