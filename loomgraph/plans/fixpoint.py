@@ -1,0 +1,121 @@
+"""Semi-naive fixpoints over DataFrames: the driver only counts, every round is a join against the new rows alone.
+
+Lineage is cut by ``kept``: a reliable checkpoint in the folder that spark.checkpoint.dir names, so a lost executor costs a
+reread and not the rounds so far.
+"""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MAX_ROUNDS = 1000
+
+
+def _ready(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="loomgraph-"))  # the latter without a cluster only
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its plan replaced by the files of a checkpoint."""
+    _ready(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def some(df: DataFrame) -> bool:
+    return bool(df.limit(1).count())
+
+
+def least_fixpoint(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = MAX_ROUNDS) -> DataFrame:
+    """The smallest set of rows that holds ``seeds`` and, with any rows, what ``step`` makes of them.
+
+    ``step`` must distribute over unions (it sees the rows that the last round added). Raises if it isn't reached.
+    """
+    seen = new = kept(seeds.distinct())
+    parts = [seen]
+    for _ in range(rounds):
+        found = step(new).select(*seeds.columns).distinct()
+        new = kept(_without(found, parts))
+        if not some(new):
+            return _together(parts)
+        parts.append(new)
+        if len(parts) > 12:  # keep the union short
+            parts = [kept(_together(parts))]
+    raise RuntimeError(f"no fixpoint in {rounds} rounds")
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _without(found: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    seen = _together(parts)
+    on = [found[c].eqNullSafe(seen[c]) for c in found.columns]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return found.join(seen, cond, "left_anti")
+
+
+def closure(seeds: DataFrame, edges: DataFrame, at: str, src: str = "src", dst: str = "dst", rounds: int = MAX_ROUNDS) -> DataFrame:
+    """``seeds`` and all rows that differ from one in ``at`` alone and are reached from it along ``edges``.
+
+    Other columns of the seeds go along: with (entry, module) it is the closure of all entries at once.
+    """
+    step_edges = edges.select(F.col(src).alias("__src"), F.col(dst).alias("__dst")).distinct()
+    rest = [c for c in seeds.columns if c != at]
+
+    def step(new: DataFrame) -> DataFrame:
+        return new.join(step_edges, new[at] == step_edges["__src"]).select(*rest, F.col("__dst").alias(at))
+
+    return least_fixpoint(seeds, step, rounds)
+
+
+def strict_closure(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
+    """All (src, dst) joined by a path of one edge or more."""
+    return closure(edges.select("src", "dst").distinct(), edges, "dst", rounds=rounds)
+
+
+def peel(vertices: DataFrame, edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
+    """v, level: vertices in layers, each with no edge from outside the layers before; those on or behind a cycle have none."""
+    left, out, level = kept(edges.select("src", "dst").distinct()), None, 0
+    rest = kept(vertices.select("v").distinct())
+    for _ in range(rounds):
+        free = kept(rest.join(left.select(F.col("dst").alias("v")).distinct(), "v", "left_anti"))
+        if not some(free):
+            return out if out is not None else vertices.select("v", F.lit(0).alias("level")).limit(0)
+        layer = free.withColumn("level", F.lit(level))
+        out = layer if out is None else out.unionByName(layer)
+        rest = kept(rest.join(free, "v", "left_anti"))
+        left = kept(left.join(free, left.src == free.v, "left_anti"))
+        level += 1
+    raise RuntimeError(f"not peeled in {rounds} rounds")
+
+
+def roots(links: DataFrame, rounds: int = 64) -> DataFrame:
+    """v, root: where each vertex of parent pointers (v, parent) ends, by pointer jumping; a root points to itself."""
+    at = kept(links.select("v", "parent"))
+    for _ in range(rounds):
+        up = at.select(F.col("v").alias("__v"), F.col("parent").alias("__up"))
+        new = kept(at.join(up, at.parent == up["__v"], "left").select("v", "parent", F.coalesce("__up", "parent").alias("__next")))
+        if not some(new.where("parent <> __next")):
+            return at.withColumnRenamed("parent", "root")
+        at = new.select("v", F.col("__next").alias("parent"))
+    raise RuntimeError(f"pointers aren't settled in {rounds} rounds; is there a cycle?")
+
+
+def components(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
+    """v, label: strongly connected components by the smallest vertex that reaches and is reached; by both closures."""
+    pairs = strict_closure(edges, rounds)
+    back = pairs.select(F.col("dst").alias("a"), F.col("src").alias("b"))
+    mutual = pairs.join(back, (pairs.src == back.a) & (pairs.dst == back.b))
+    return mutual.groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("label"), F.count(F.lit(1)).alias("size"))
