@@ -1,12 +1,13 @@
 """Semi-naive fixpoints over DataFrames: the driver only counts, every round is a join against the new rows alone.
 
-Lineage is cut by ``kept``: a reliable checkpoint in the folder that spark.checkpoint.dir names, so a lost executor costs a
+Lineage is cut by ``kept``: a table in the folder that spark.checkpoint.dir names, so a lost executor costs a
 reread and not the rounds so far.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,17 +16,20 @@ from pyspark.sql import functions as F
 MAX_ROUNDS = 1000
 
 
-def _ready(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="loomgraph-"))  # the latter without a cluster only
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; where that is unset (no cluster), in a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its plan replaced by the files of a checkpoint."""
-    _ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once, its plan replaced by a table in the shared folder: its size is known to later joins."""
+    at = shared_path(df.sparkSession, "kept")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def some(df: DataFrame) -> bool:

@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from loomgraph.functions import text as X
 from loomgraph.functions.hooks import Hook, Hooks, only_where
-from loomgraph.plans.fixpoint import closure, kept
-from loomgraph.plans.graph import edges_of, reach
-from loomgraph.plans.relational import G, M, R, _chunks, chunk_edges
+from loomgraph.operators.fixpoint import closure, kept
+from loomgraph.operators.graph import edges_of, reach
+from loomgraph.operators.relational import chunk_edges
+from loomgraph.plans.relational import G, M, R, _chunks
 from loomgraph.registry import query
 from loomgraph.sources import testdata as D
 from loomgraph.sources.testdata import table, with_

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.functions import text as X
-from loomgraph.plans.fixpoint import kept, least_fixpoint
-from loomgraph.plans.graph import edges_of, reach
+from loomgraph.operators.fixpoint import kept, least_fixpoint, shared_path
+from loomgraph.operators.graph import edges_of, reach
+from loomgraph.operators.relational import as_of, best_split, chunk_edges, chunk_modules, client_needs, copy_files, exports, files, imports, in_flight, match_rules, merge_small, merge_snapshot, star_exports, unique_names, write_outputs
 from loomgraph.registry import query
 from loomgraph.sources import testdata as D
 from loomgraph.sources.testdata import CHUNKS, ENTRIES, MODULES, RECORDS, REACH, table, with_
@@ -19,17 +19,6 @@ M, R = with_(MODULES), with_(RECORDS)
 G = with_(MODULES, RECORDS, ENTRIES, REACH, CHUNKS, recursive=True)
 
 
-def chunk_modules(mod: DataFrame, rec: DataFrame, ent: DataFrame) -> DataFrame:
-    """module_idx, entry_set, chunk_idx and the module's columns: modules with the same entries share a chunk.
-
-    Chunks are numbered over their distinct sets, of which there are as many as chunks, not as modules.
-    """
-    sets = reach(ent, edges_of(rec)).groupBy("module_idx").agg(F.sort_array(F.collect_set("entry_idx")).alias("entry_set"))
-    sets = kept(sets.withColumn("key", F.array_join(F.col("entry_set").cast("array<string>"), ",")))
-    numbered = sets.select("key").distinct().withColumn("chunk_idx", F.row_number().over(Window.orderBy("key")) - 1)
-    return sets.join(numbered, "key").join(mod.select("module_idx", "size", "id", "package_id", "module_type"), "module_idx").drop("key")
-
-
 def _chunks(spark, sf):
     return chunk_modules(D.modules(spark, sf), D.import_records(spark, sf), D.entries(spark, sf))
 
@@ -37,12 +26,6 @@ def _chunks(spark, sf):
 # Sources --------------------------------------------------------------------------------------------------------------------
 
 
-def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, length, modified and content of the files below a folder."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return found.select("path", "length", F.col("modificationTime").alias("modified"), "content")
-
-
 @query("src1_file_scan", None)
 def src1(spark, sf):
     return files(spark, sf, "region*.parquet").select(X.basename(F.col("path")).alias("file"), "length")
@@ -86,11 +69,6 @@ def src6(spark, sf):
     return merge_snapshot(rec, delta, ["importer"])
 
 
-def merge_snapshot(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """``base`` with all rows of the keys in ``delta`` replaced by those of ``delta``."""
-    return base.join(delta.select(*keys).distinct(), keys, "left_anti").unionByName(delta)
-
-
 @query("src7_rollback", R[:-1] + " SELECT importer, count(*) AS n FROM import_records GROUP BY importer")
 def src7(spark, sf):
     """A failed partial scan leaves the snapshot as it was: versions are whole tables, and the current one is swapped last."""
@@ -151,9 +129,22 @@ def src14(spark, sf):
 # Sinks ----------------------------------------------------------------------------------------------------------------------
 
 
-def write_outputs(df: DataFrame, path: str, by: list[str], clean: bool = True) -> None:
-    """Writes a table partitioned by columns; with ``clean`` what was there goes first."""
-    df.write.mode("overwrite" if clean else "append").partitionBy(*by).parquet(path)
+@query("snk1_write_outputs", M + "SELECT module_type, count(*) AS n, sum(size)::BIGINT AS size FROM modules GROUP BY module_type")
+def snk1(spark, sf):
+    """Written by type below the shared folder, and read again."""
+    at = shared_path(spark, "outputs")
+    write_outputs(D.modules(spark, sf).select("module_type", "id", "size"), at, ["module_type"])
+    return spark.read.parquet(at).groupBy("module_type").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+
+
+@query("snk8_copy_assets", None)
+def snk8(spark, sf):
+    """Files passed through byte by byte, each by the task that reads it."""
+    at = shared_path(spark, "copies")
+    if not at.startswith("file:"):
+        raise ValueError("copies need a mounted shared folder")
+    copied = copy_files(files(spark, sf, "region*.parquet"), "/" + at[5:].lstrip("/"))
+    return copied.select("file", "length")
 
 
 @query("snk2_path_guard", M + "SELECT module_idx, module_idx % 6 <> 0 AS allowed FROM modules")
@@ -219,23 +210,10 @@ def jn2(spark, sf):
     return chunk_edges(D.import_records(spark, sf), _chunks(spark, sf))
 
 
-def chunk_edges(rec: DataFrame, chunks: DataFrame) -> DataFrame:
-    a, b = chunks.select(F.col("module_idx").alias("importer"), F.col("chunk_idx").alias("src")), chunks.select(F.col("module_idx").alias("importee"), F.col("chunk_idx").alias("dst"))
-    return rec.join(a, "importer").join(b, "importee").where("src <> dst").select("src", "dst").distinct()
-
-
 BIND = """exports AS (SELECT module_idx, 'e' || k AS name FROM modules, (SELECT unnest([0, 1]) AS k) WHERE (module_idx + k) % 3 <> 0),
 imports AS (SELECT importer, rec_idx, importee, CASE WHEN rec_idx % 5 = 4 THEN '*' ELSE 'e' || rec_idx % 3 END AS name FROM import_records WHERE kind = 'import-statement')"""
 
 
-def exports(mod: DataFrame) -> DataFrame:
-    return mod.select("module_idx", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).where("(module_idx + k) % 3 <> 0").select("module_idx", F.concat(F.lit("e"), F.col("k").cast("string")).alias("name"))
-
-
-def imports(rec: DataFrame) -> DataFrame:
-    return rec.where("kind = 'import-statement'").select("importer", "rec_idx", "importee", F.when(F.col("rec_idx") % 5 == 4, "*").otherwise(F.concat(F.lit("e"), (F.col("rec_idx") % 3).cast("string"))).alias("name"))
-
-
 @query("jn3_binding", with_(MODULES, RECORDS, BIND) + "SELECT i.importer, i.rec_idx, CASE WHEN i.name = '*' THEN 'Namespace' WHEN e.name IS NOT NULL THEN 'Normal' ELSE 'NoMatch' END AS status FROM imports i LEFT JOIN exports e ON e.module_idx = i.importee AND e.name = i.name")
 def jn3(spark, sf):
     e = exports(D.modules(spark, sf)).select(F.col("module_idx").alias("importee"), "name", F.lit(True).alias("found"))
@@ -248,19 +226,6 @@ via AS (SELECT module_idx AS root, module_idx AS origin, name FROM exports WHERE
   UNION SELECT s.src, v.origin, v.name FROM via v JOIN stars s ON s.dst = v.root WHERE NOT EXISTS (SELECT 1 FROM exports o WHERE o.module_idx = s.src AND o.name = v.name))"""
 
 
-def star_exports(exports_: DataFrame, stars: DataFrame) -> DataFrame:
-    """root, name, origin: what a module exports itself or by export *; own names shadow those from below."""
-    own = kept(exports_)
-    first = own.where("name <> 'default'").select(F.col("module_idx").alias("root"), F.col("module_idx").alias("origin"), "name")
-    up = kept(stars)
-
-    def step(new):
-        found = new.join(up, new.root == up.dst).select(F.col("src").alias("root"), "origin", "name")
-        return found.join(own.select(F.col("module_idx").alias("root"), "name"), ["root", "name"], "left_anti").select("root", "origin", "name")
-
-    return least_fixpoint(first, step)
-
-
 def _stars(spark, sf):
     stars = D.import_records(spark, sf).where("is_export_star and importer <> importee").select(F.col("importer").alias("src"), F.col("importee").alias("dst")).distinct()
     return star_exports(exports(D.modules(spark, sf)), stars)
@@ -306,13 +271,6 @@ def _ships(spark, sf):
     return clients, mod, shipped
 
 
-def client_needs(clients: DataFrame, mod: DataFrame, shipped: DataFrame) -> DataFrame:
-    """The result itself is a row for each affected module and client, so clients (few) meet affected modules only."""
-    stale = shipped.join(mod, "module_idx").where("latest > stamp").select("client", "module_idx")
-    lacking = clients.join(mod.where("affected").select("module_idx"), F.lit(True)).join(shipped.select("client", "module_idx"), ["client", "module_idx"], "left_anti")
-    return stale.unionByName(lacking).distinct()
-
-
 @query("jn9_by_dependency_file", R[:-1] + " SELECT DISTINCT r.importer AS module_idx FROM import_records r JOIN events e ON e.user_id = r.importee WHERE e.event_type = 'error'")
 def jn9(spark, sf):
     deps = D.import_records(spark, sf).groupBy(F.col("importer").alias("module_idx")).agg(F.collect_set("importee").alias("deps"))
@@ -320,17 +278,6 @@ def jn9(spark, sf):
     return deps.select("module_idx", F.explode("deps").alias("path")).join(changed, "path").select("module_idx").distinct()
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
-    """``left`` with the ``value`` of the nearest row of ``right`` at or before it: one sort of both sides, no join.
-
-    ``at`` must be unique in ``right`` for each key; a row without a predecessor gets null.
-    """
-    cols = [c for c in left.columns if c not in (*by, at)]
-    both = left.select(*by, at, *cols, F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias(value)).unionByName(right.select(*by, at, F.lit(0).alias("__side"), value), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("__side = 1").drop("__side")
-
-
 @query("jn10_as_of", """SELECT e.event_id, e.user_id, e.ts, (SELECT max_by(o.event_id, (o.ts, o.event_id)) FROM events o WHERE o.user_id = e.user_id AND o.event_type = 'signup' AND o.ts <= e.ts) AS before FROM events e WHERE e.event_type <> 'signup'""")
 def jn10(spark, sf):
     ev = table(spark, sf, "events")
@@ -398,11 +345,6 @@ RULES = [(0, "steel", "STEEL", 10, 0, 3000), (1, "large", "LARGE", 20, 500, 1 <<
 RULES_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(str(r) for r in RULES) + ") t(rule_idx, name, test, priority, min_size, max_size))"
 
 
-def match_rules(mod: DataFrame, rules: DataFrame) -> DataFrame:
-    """All rules each module meets; the rule table is a configuration of a few rows."""
-    return mod.join(rules, F.contains("id", "test") & F.col("size").between(F.col("min_size"), F.col("max_size")))
-
-
 def _rules(spark):
     return spark.createDataFrame(RULES, "rule_idx int, name string, test string, priority int, min_size long, max_size long")
 
@@ -417,19 +359,6 @@ def ag3(spark, sf):
     return match_rules(_chunks(spark, sf), _rules(spark)).groupBy("rule_idx", "name", "entry_set").agg(F.sum("size").alias("size"))
 
 
-def merge_small(groups: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Greedy: the smallest group below ``least`` joins the one with the nearest entries (then size, then key)."""
-    own = [[float(s), tuple(sorted(e)), [str(k)]] for s, e, k in zip(groups["size"], groups["entry_set"], groups["key"], strict=True)]
-    while len(own) > 1:
-        own.sort(key=lambda g: (g[0], g[2]))
-        if own[0][0] >= least:
-            break
-        small = own.pop(0)
-        best = min(own, key=lambda g: (len(set(g[1]) ^ set(small[1])), g[0], g[2]))
-        best[0], best[1], best[2] = best[0] + small[0], tuple(sorted({*best[1], *small[1]})), sorted(best[2] + small[2])
-    return pd.DataFrame([(g[2][0], list(g[1]), g[0], len(g[2])) for g in own], columns=["key", "entry_set", "size", "merged"])
-
-
 @query("ag4_merge_small_groups", None)
 def ag4(spark, sf):
     """Sequential by nature: each rule's groups (entry sets, not modules) go to one task."""
@@ -495,14 +424,6 @@ steps AS (SELECT owner, hook, t, sum(d) AS d FROM points GROUP BY ALL),
 flight AS (SELECT owner, hook, t, sum(d) OVER (PARTITION BY owner, hook ORDER BY t) AS n, lead(t) OVER (PARTITION BY owner, hook ORDER BY t) - t AS dt FROM steps)"""
 
 
-def in_flight(calls: DataFrame, by: list[str]) -> DataFrame:
-    """by, at, n, dt: how many spans are open from each point on, and for how long; one row a point of time."""
-    points = calls.select(*by, F.inline(F.array(F.struct(F.col("start_us").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("at"), F.lit(-1).alias("d")))))
-    steps = points.groupBy(*by, "at").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*by).orderBy("at")
-    return steps.select(*by, "at", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n"), (F.lead("at").over(w) - F.col("at")).alias("dt"))
-
-
 @query("ag12_hook_costs", with_(D.CALLS, SWEEP) + "SELECT owner, hook, (SELECT count(*) FROM calls c WHERE c.owner = f.owner AND c.hook = f.hook) AS calls, max(n)::BIGINT AS most, coalesce(sum(greatest(n - 1, 0) * dt), 0)::BIGINT AS overlap FROM flight f GROUP BY owner, hook")
 def ag12(spark, sf):
     calls = kept(D.hook_calls(spark, sf).select("owner", "hook", "start_us", "end_us"))
@@ -581,20 +502,6 @@ def wn5(spark, sf):
     return rows.select("module_idx", F.aggregate(F.sequence(F.lit(1), n), F.lit(0).cast("long"), lambda s, i: s + F.greatest(F.lit(0), 10 - F.abs(at("id", i) - at("prev", i)))).alias("similarity"))
 
 
-def best_split(keys: list[str], sizes: list[float], least: float, most: float) -> int | None:
-    """Where to cut an ordered list: both sides of ``least`` or more; candidates are scanned in order, for the comparison isn't transitive."""
-    total, left, best = sum(sizes), 0.0, None
-    for i in range(1, len(keys)):
-        left += sizes[i - 1]
-        if left < least or total - left < least:
-            continue
-        alike = sum(max(0, 10 - abs(a - b)) for a, b in zip(keys[i - 1].encode(), keys[i].encode(), strict=False))
-        new = (i, alike, (left > most) + (total - left > most), max(left, total - left))
-        if best is None or (new[1] < best[1] if abs(new[1] - best[1]) > 10 else new[2] < best[2] or (new[2] == best[2] and new[3] < best[3])):
-            best = new
-    return best and best[0]
-
-
 @query("wn6_best_split", None)
 def wn6(spark, sf):
     """Sequential within a group; the list of a group's modules is its size."""
@@ -629,21 +536,6 @@ def wn9(spark, sf):
     return D.modules(spark, sf).withColumn("r", r).select("module_idx", F.concat(F.substring_index("package_id", "#", 1), F.when(F.col("r") == 0, "").otherwise(F.concat(F.lit("$"), F.col("r").cast("string")))).alias("name"))
 
 
-def unique_names(names: list[str]) -> list[str]:
-    """Counters from 2 before the extension; names differ in more than case."""
-    taken: set[str] = set()
-    out = []
-    for name in names:
-        stem, dot, ext = name.rpartition(".")
-        stem, ext = (stem, dot + ext) if dot else (name, "")
-        new, k = name, 2
-        while new.lower() in taken:
-            new, k = f"{stem}{k}{ext}", k + 1
-        taken.add(new.lower())
-        out.append(new)
-    return out
-
-
 @query("wn10_unique_file_names", None)
 def wn10(spark, sf):
     """Each outcome depends on all before; names that may clash share a stem without its digits, which makes the groups."""
@@ -723,6 +615,3 @@ def se4(spark, sf):
     """Null asks for everything and absorbs lists; what was had is taken off."""
     s = D.import_records(spark, sf).groupBy("importer").agg(F.bool_or(F.col("is_export_star") & (F.col("importee") % 5 == 0)).alias("everything"), F.collect_set((F.col("importee") % 9).cast("long")).alias("asked"), F.collect_set((F.col("rec_idx") % 9).cast("long")).alias("had"))
     return s.select("importer", "everything", F.when(~F.col("everything"), F.sort_array(F.array_except("asked", "had"))).alias("rest"))
-
-
-__all__ = ["chunk_modules", "chunk_edges", "client_needs", "as_of", "merge_snapshot", "write_outputs", "files"]

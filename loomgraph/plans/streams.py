@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgraph.plans.relational import merge_snapshot
+from loomgraph.operators.fixpoint import shared_path
+from loomgraph.operators.relational import merge_snapshot
 from loomgraph.registry import query
 from loomgraph.sources import testdata as D
 from loomgraph.sources.testdata import CHANGES, MODULES, RECORDS, table, with_
@@ -31,8 +30,8 @@ def st1_global(spark, sf):
 @query("st1_debounce_streaming", with_(CHANGES, ISLANDS) + "SELECT path, count(*) AS n, min(ts) AS first, max(ts) AS last FROM isl GROUP BY path, session")
 def st1_stream(spark, sf):
     """The same from a stream of files, with every session given out when the input ends (complete mode)."""
-    at = tempfile.mkdtemp(prefix="loomgraph-")
-    src = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(f"{sf}/" if not sf.endswith("/") else sf)
+    at = shared_path(spark, "stream")
+    src = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
     kind = F.when(F.col("event_type") == "signup", "Create").when(F.col("event_type") == "error", "Delete").otherwise("Update")
     changes = src.select(F.col("event_id").alias("seq"), "ts", F.col("user_id").alias("path"), kind.alias("kind"))
     return C.run_available(C.sessions(changes), f"debounce_{abs(hash(at))}", at, "complete")
@@ -42,6 +41,15 @@ FOLD = """kinds AS (SELECT path, list(kind ORDER BY ts, seq) AS ks FROM changes
 folded AS (SELECT path, len(ks) AS n, list_reduce(list_prepend('', ks), lambda s, k: CASE WHEN s = '' THEN k WHEN s = 'Create' AND k = 'Update' THEN 'Create' WHEN s = 'Create' AND k = 'Delete' THEN '' WHEN s = 'Delete' AND k = 'Create' THEN 'Update' ELSE k END) AS kind FROM kinds)"""
 
 
+@query("src13_watched_files", with_(CHANGES) + "SELECT kind, count(*) AS n FROM changes GROUP BY kind")
+def src13(spark, sf):
+    """Changes read as a stream of files, as far as there are any."""
+    at = shared_path(spark, "stream")
+    src = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
+    kind = F.when(F.col("event_type") == "signup", "Create").when(F.col("event_type") == "error", "Delete").otherwise("Update")
+    return C.run_available(src.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")), f"watched_{abs(hash(at))}", at, "complete")
+
+
 @query("st2_fold_changes", with_(CHANGES, FOLD) + "SELECT path, kind, n FROM folded WHERE kind <> ''")
 def st2(spark, sf):
     return C.fold_changes(D.file_changes(spark, sf), ["path"])
