@@ -6,6 +6,8 @@ reread and not the rounds so far.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,7 +22,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; where that is unset (no cluster), in a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        own = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = "file://" + own
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at}/{name}-{uuid.uuid4().hex}"
 

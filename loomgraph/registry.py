@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.shipping import shipped
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -17,7 +19,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         if name in _QUERIES:
             raise ValueError(f"two queries are named {name}")
-        _QUERIES[name] = f
+        _QUERIES[name] = shipped(f)
         if sql:
             _SQL[name] = sql
         return f
