@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph.llm import decontaminate, mixing, near_dup, token_ids, toxicity
 from loomgraph.llm.common import saved, table
 from loomgraph.llm.queries import tokenizer_path
+from loomgraph.shipping import shipped
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,11 +40,11 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("mixing", mix_sources),
-    ("token_ids", write_token_ids),
+    ("toxicity", shipped(drop_toxic)),
+    ("near_duplicates", shipped(drop_near_duplicates)),
+    ("decontamination", shipped(drop_contaminated)),
+    ("mixing", shipped(mix_sources)),
+    ("token_ids", shipped(write_token_ids)),
 ]
 #: No stage's model, sketch or codec is expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import NULL_ID, Lookup, groups, ngram_hashes, order_id, saved, text_hash, word_hashes
+from loomgraph.llm.common import Lookup, groups, ngram_hashes, order_id, saved, text_hash, word_hashes
 
 SEED = 3
 THRESHOLD = 0.5

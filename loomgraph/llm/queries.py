@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, language_id, line_dedup, media, mixing, near_dup, suffix_dedup, token_ids, toxicity, url_lists
 from loomgraph.llm.common import saved, shown_id, table
+from loomgraph.shipping import shipped
 
 
 def tokenizer_path() -> str:
@@ -17,16 +18,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@shipped
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = token_ids.token_ids(spark, table(spark, sf_dir, "documents"), tokenizer_path())
     return rows
 
 
+@shipped
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+@shipped
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -43,30 +47,36 @@ FROM k LEFT JOIN r ON k.key = r.key GROUP BY k.doc_id
 """
 
 
+@shipped
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.plan(docs).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@shipped
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.language_id(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@shipped
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@shipped
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(shown_id("doc").alias("doc_id"), shown_id("class_doc").alias("class_id"), "n_shingles")
 
 
+@shipped
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(saved(media.store(table(spark, sf_dir, "documents")), "media"))
 
 
+@shipped
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(shown_id("doc").alias("doc_id"), "item_id", "score", "matches", "first_word", "last_word")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.llm.common import table
+from loomgraph.shipping import shipped
 
 SALT = 16
 RESULTS = ["host", "blocked", "kind", "pattern", "category", "since", "n_active"]
@@ -114,6 +115,7 @@ def sample_list(captures: DataFrame) -> DataFrame:
     return own.select("kind", "pattern", "category", F.inline(F.array(change("add", day(first)), change("remove", day(first + F.col("days"))), change("add", day(first + 2 * F.col("days"))))))
 
 
+@shipped
 def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = table(spark, sf_dir, "pages").select("page_id", "url", (F.lit(START) + F.col("page_id") * 7919 % 525600 * 60).alias("fetched_at"))
     return judge(captures, sample_list(captures))

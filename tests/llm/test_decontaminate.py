@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from loomgraph.llm import decontaminate as D
+from loomgraph.llm.common import NULL_ID
 
 DOCS = "doc_id long, text string, item_id string, score int"
 ITEMS = "item_id long, text string, doc_id int"
@@ -50,16 +51,16 @@ def test_against_brute_force(spark):
         for i, x in items:
             a, b = norm(x), norm(t)
             if a and b and len(b) < 1000 and brute_align(a, b) >= D.THRESHOLD * D.MATCH * len(a):
-                want.add((D.NULL_ID if d is None else d, i))
+                want.add((NULL_ID if d is None else d, i))
     want.add((204, 4))
     got = D.contaminated(docs, bench).collect()
     found = {(g.doc, g.item_id) for g in got}
     assert found <= want
     assert len(want - found) <= 0.03 * len(want), want - found
-    exact = {(200, 0), (D.NULL_ID, 1), (0, 2), (203, 3), (204, 4), (205, 52)}
+    exact = {(200, 0), (NULL_ID, 1), (0, 2), (203, 3), (204, 4), (205, 52)}
     assert exact <= found
     assert len(found) == len({(g.doc, g.th, g.item_id) for g in got}) == len(got)
     left = D.clean(docs, bench)
-    assert left.columns == docs.columns and {(D.NULL_ID if r.doc_id is None else r.doc_id) for r in left.collect()} >= {201, 202}
+    assert left.columns == docs.columns and {(NULL_ID if r.doc_id is None else r.doc_id) for r in left.collect()} >= {201, 202}
     assert left.where("doc_id in (200, 203, 204, 205)").count() == 0
     assert D.contaminated(docs.limit(0), bench).count() == 0 and D.contaminated(docs, bench.limit(0)).count() == 0
