@@ -27,16 +27,18 @@ same doc_id are told apart by text, equal rows are one document; ties go to the
 from __future__ import annotations
 
 import math
+import os
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgraph.llm.common import groups, mix, ngram_hashes, order_id, saved, text_hash, word_hashes
+from loomgraph.llm.common import groups, local_path, mix, ngram_hashes, order_id, saved, scratch, text_hash, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -134,6 +136,51 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select(order_id().alias("doc"), text_hash().alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, SKETCH)
 
 
+BITS = 26
+
+
+def _bit(sid: Column) -> Column:
+    return F.pmod(F.conv(F.hex(F.substring(sid, 1, 8)), 16, -10).cast("long"), F.lit(1 << BITS))
+
+
+@lru_cache(maxsize=1)
+def _bits_of(path: str) -> np.ndarray:
+    with open(path, "rb") as f:
+        return np.frombuffer(f.read(), np.uint8)
+
+
+def _only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``sets`` (sid, n, shingles) whose sid is in ``wanted``; most others are left out before they are shuffled.
+
+    For that, a file of 2**BITS bits in the shared folder says which sids may be wanted. Its size is fixed; with more
+    sids than it can tell apart more rows travel to the exact join.
+    """
+    folder = local_path(scratch(sets.sparkSession, "bits"))
+    words = wanted.select(_bit(F.col("sid")).alias("b")).groupBy(F.floor(F.col("b") / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("x"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((1 << BITS) // 64, np.uint64)
+        for b in batches:
+            out[b.column("w").to_numpy()] |= b.column("x").to_numpy().view(np.uint64)
+        os.makedirs(folder, exist_ok=True)
+        with open(own := f"{folder}/{uuid.uuid4().hex}", "wb") as f:
+            f.write(out.tobytes())
+        os.replace(own, f"{folder}/bits")
+        yield pa.RecordBatch.from_arrays([pa.array([1])], names=["done"])
+
+    words.repartition(1).mapInArrow(write, "done long").collect()  # one row
+    path = f"{folder}/bits"
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = _bits_of(path)
+        for b in batches:
+            at = b.column("b").to_numpy()
+            yield b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+
+    some = sets.withColumn("b", _bit(F.col("sid"))).mapInArrow(pick, "sid binary, n int, shingles binary, b long").drop("b") if os.path.exists(path) else sets.limit(0)
+    return some.join(wanted, "sid", "left_semi")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs`` (a, b) that are near duplicates, by their whole sets."""
 
@@ -194,7 +241,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     held = saved(filed.join(buckets, "bucket"), "held")
     met = saved(held.where("sid <> pivot").groupBy(F.col("sid").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("times")), "met")
     wanted = met.select(F.col("a").alias("sid")).unionByName(met.select(F.col("b").alias("sid"))).distinct()
-    sets = saved(all_.where("sid is not null").select("sid", "n", "shingles").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "shingles")
+    sets = saved(_only(all_.where("sid is not null").select("sid", "n", "shingles"), wanted).groupBy("sid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "shingles")
     most = met.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
     links = saved(_links(most, sets, threshold), "links")
     label = components(links)
