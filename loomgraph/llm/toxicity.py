@@ -4,7 +4,7 @@
 (runs of ASCII letters and digits and of all beyond ASCII, A-Z lower-cased, by hash) and the first PREFIXES bytes of longer words,
 so that inflected and compound forms count together. It keeps the FEATURES terms with the largest chi-square against any
 category among those in at least MIN_DOCS documents (if it is CHI_SQUARE at least); inputs are whether a term occurs at all,
-twice, four times, and in at least DENSE of all words. One L2-penalised logistic model is trained after another; a later model's extra inputs are the log-odds of the earlier ones, in training out of fold (FOLDS folds
+twice, four times, and in at least DENSE of all words. One L2-penalised logistic model, without negative weights of terms, is trained after another; a later model's extra inputs are the log-odds of the earlier ones, in training out of fold (FOLDS folds
 by a hash of the document), in prediction of the full models. At most SAMPLE labelled documents are used, chosen by a hash
 of doc_id; copies among them (equal in one of two minimal word-triple hashes) count once. The model is trained by one task, from
 that sample alone, and is a few hundred kB.
@@ -42,7 +42,7 @@ DENSE = 1 / 160
 CHI_SQUARE = 24.0
 FOLDS = 4
 STEPS = 150
-L2 = 0.1
+L2 = 0.5
 THRESHOLD = 0.5
 CATEGORIES = ("toxic", "intense", "varied")
 
@@ -117,6 +117,23 @@ def logistic(x: Rows, y: np.ndarray, steps: int = STEPS, l2: float = L2) -> np.n
     return w
 
 
+def rising(x: Rows, y: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """``logistic`` without negative weights of terms: those are left out, and the rest is fitted again.
+
+    So a word that speaks for a category isn't outweighed by others that a long text has by chance.
+    """
+    off = np.zeros(x.d, bool)
+    for _ in range(rounds):
+        keep = ~off[x.col]
+        w = logistic(Rows(x.row[keep], x.col[keep], x.n, x.d, x.dense), y)
+        new = (w[: x.d] < 0) & ~off
+        if not new.any():
+            break
+        off |= new
+    w[: x.d] = np.maximum(w[: x.d], 0)
+    return w
+
+
 def levels(row: np.ndarray, key: np.ndarray, times: np.ndarray, words: np.ndarray, keys: int) -> Rows:
     """Inputs of documents with ``words`` words each, from how often which key occurs in which."""
     step = len(LEVELS) + 1
@@ -203,12 +220,12 @@ def train(texts: list[bytes], labels: np.ndarray, names: list[str], derive=None)
     base = levels(row[own], to[col[own]], times[own], np.array(words), len(best))
     weights = []
     for k in range(y.shape[1]):
-        weights.append(logistic(base, y[:, k]))
+        weights.append(rising(base, y[:, k]))
         out = np.zeros(n)
         for f in range(FOLDS):
             of = fold == f
             if of.any() and not of.all():
-                w = logistic(base.take(~of), y[~of, k])
+                w = rising(base.take(~of), y[~of, k])
                 out[of] = base.take(of).dot(w[:-1]) + w[-1]
         base = Rows(base.row, base.col, n, base.d, np.column_stack([base.dense, np.clip(out, -10, 10)]))
     return Chain(keys[best], weights, names)
