@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 1000
+#: Steps that are taken before the result of a round is written.
+HOPS = 3
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -48,8 +50,11 @@ def least_fixpoint(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], rou
     seen = new = kept(seeds.distinct())
     parts = [seen]
     for _ in range(rounds):
-        found = step(new).select(*seeds.columns).distinct()
-        new = kept(_without(found, parts))
+        hop, found = new, None
+        for _ in range(HOPS):  # a round's fixed cost outweighs what is met again within it
+            hop = step(hop).select(*seeds.columns).distinct()
+            found = hop if found is None else found.unionByName(hop)
+        new = kept(_without(found.distinct(), parts))
         if not some(new):
             return _together(parts)
         parts.append(new)
