@@ -16,8 +16,8 @@ which all but the earliest member go. The sort is distributed by content, so tha
 
 Skew: what occurs several times within a batch needs no company to be known as repeated, and goes to a task by document;
 its anchor's task gets it once a batch. An anchor with more than HOT runs is taken apart into its windows, which travel as
-128-bit hashes and meet under those, again folded by batch. Windows are told apart by their bytes, save that folding
-compares runs (and windows of hot anchors) by 128-bit hashes.
+128-bit hashes and meet under those, again folded by batch. Windows are told apart by their bytes, save those
+of hot anchors, which are known by 128-bit hashes.
 
 Cases: null text is empty; null doc_ids order first; equal rows are one document, each with the same result; rows with
 one doc_id and other texts are documents of their own, ordered by that hash; texts shorter than WINDOW lose nothing; other columns are ignored.
@@ -38,7 +38,7 @@ from loomgraph.llm.common import groups, mix, order_id, partitions, saved
 
 WINDOW = 100
 K = 32
-HOT = 100_000
+HOT = 40_000
 #: Rounds of names: after the last one names stand for 3**ROUNDS bytes, and need no further telling apart.
 ROUNDS = 5
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -50,58 +50,60 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 def _names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the keys, and each one's rank among the distinct ones, from 1."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable").astype(np.int32)
     s = keys[order]
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.cumsum(np.append(True, s[1:] != s[:-1]))
+    rank = np.empty(len(keys), np.int32)
+    rank[order] = np.cumsum(np.append(True, s[1:] != s[:-1]), dtype=np.int32)
     return order, rank
 
 
 def suffix_order(t: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Places of ``t`` (positive integers below 2**21) in the order of their suffixes, by difference cover {1, 2} mod 3.
+    """Places of ``t`` (positive integers, as many as fit in memory some 100 times over) in the order of their suffixes, by difference cover {1, 2} mod 3.
 
     With ``rounds`` of recursion, suffixes that agree for 3**rounds places may come in any order.
     """
     n = len(t)
     if n == 0:
-        return np.zeros(0, np.int64)
-    s = np.zeros(n + 3, np.int64)
+        return np.zeros(0, np.int32)
+    s = np.zeros(n + 3, np.int32)
     s[:n] = t
-    one, two, zero = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3), np.arange(0, n, 3)
-    cover = np.concatenate([one, two])
+    wide = lambda p: s[p].astype(np.int64)
+    cover = np.concatenate([np.arange(1, n + (n % 3 == 1), 3, dtype=np.int32), np.arange(2, n, 3, dtype=np.int32)])
     bits = max(1, int(s.max()).bit_length())
     if 3 * bits <= 62:
-        order, name = _names((s[cover] << (2 * bits)) | (s[cover + 1] << bits) | s[cover + 2])
+        order, name = _names((wide(cover) << (2 * bits)) | (wide(cover + 1) << bits) | s[cover + 2])
     else:
-        _, last = _names((s[cover + 1] << 31) | s[cover + 2])
-        order, name = _names((s[cover] << 31) | last)
+        _, last = _names((wide(cover + 1) << 31) | s[cover + 2])
+        order, name = _names((wide(cover) << 31) | last)
     if rounds > 1 and len(cover) and name[order[-1]] < len(cover):
         order = suffix_order(name, rounds - 1)
-        name = np.empty(len(cover), np.int64)
-        name[order] = np.arange(1, len(cover) + 1)
-    rank = np.zeros(n + 3, np.int64)
+        name = np.empty(len(cover), np.int32)
+        name[order] = np.arange(1, len(cover) + 1, dtype=np.int32)
+    rank = np.zeros(n + 3, np.int32)
     rank[cover] = name
     sampled = cover[order]
+    del cover, order, name
     sampled = sampled[sampled < n]
     # The rest: by the first symbol, then the sampled suffix behind it.
-    zero = zero[np.argsort(s[zero] * (n + 3) + rank[zero + 1], kind="stable")]
+    zero = np.arange(0, n, 3, dtype=np.int32)
+    key1 = lambda p: wide(p) * (n + 3) + rank[p + 1]
+    zero = zero[np.argsort(key1(zero), kind="stable")]
     # Merge: against places 1 mod 3 by one symbol and a rank, against 2 mod 3 by two symbols and a rank.
     at1, at2 = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
-    key1 = lambda p: s[p] * (n + 3) + rank[p + 1]
-    k1, z1 = key1(at1), key1(zero)
-    before = np.searchsorted(np.maximum.accumulate(k1), z1) if len(k1) else np.zeros(len(zero), np.int64)
+    before = np.searchsorted(np.maximum.accumulate(key1(at1)), key1(zero)).astype(np.int32) if len(at1) else np.zeros(len(zero), np.int32)
     if 2 * bits + int(n + 3).bit_length() <= 62:
-        key2 = lambda p: ((s[p] << bits) | s[p + 1]) * (n + 3) + rank[p + 2]
+        key2 = lambda p: ((wide(p) << bits) | s[p + 1]) * (n + 3) + rank[p + 2]
         k2, z2 = key2(at2), key2(zero)
     else:
         both = np.concatenate([at2, zero])
-        _, first = _names((s[both] << 31) | s[both + 1])
-        k = first * (n + 3) + rank[both + 2]
+        _, first = _names((wide(both) << 31) | s[both + 1])
+        k = first.astype(np.int64) * (n + 3) + rank[both + 2]
         k2, z2 = k[: len(at2)], k[len(at2) :]
-    before = before + (np.searchsorted(np.maximum.accumulate(k2), z2) if len(k2) else 0)
+    if len(at2):
+        before += np.searchsorted(np.maximum.accumulate(k2), z2).astype(np.int32)
     before = np.maximum.accumulate(before)  # names that were left equal order what agrees that far in one way here, in another there
-    out = np.empty(n, np.int64)
-    slot = before + np.arange(len(zero))
+    slot = before + np.arange(len(zero), dtype=np.int32)
+    out = np.empty(n, np.int32)
     out[slot] = zero
     free = np.ones(n, bool)
     free[slot] = False
@@ -243,18 +245,19 @@ def _repeated(packed: DataFrame, parts: int, hot: int) -> DataFrame:
     return packed.repartitionById(parts, F.col("part")).mapInArrow(run, REPEATED)
 
 
-CONTENTS = "part int, anchor long, c1 long, c2 long, doc long, rk long, start long, n int, bytes binary"
-_TYPES = [pa.int32(), *[pa.int64()] * 6, pa.int32(), pa.binary()]
+CONTENTS = "part int, anchor long, content binary, doc long, rk long, start long, n int"
+_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
 
 def _contents(joined: DataFrame, parts: int) -> DataFrame:
-    """CONTENTS of (doc, rk, z, runs): runs with their bytes, and those known to be duplicates without (anchor null)."""
+    """CONTENTS of (doc, rk, z, runs): runs with their bytes, windows of hot anchors with their hash (16 bytes, shorter than any
+    run), and what is known to be a duplicate with neither (anchor null), there joined to stretches of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             best: dict[tuple, tuple] = {}
-            known: list[tuple] = []
+            known: dict[int, list[tuple[int, int]]] = {}
 
             def meet(at: tuple, row: tuple) -> None:
                 old = best.get(at)
@@ -263,7 +266,7 @@ def _contents(joined: DataFrame, parts: int) -> DataFrame:
                 elif old[:3] != row[:3]:
                     least, other = (row, old) if row[:3] < old[:3] else (old, row)
                     best[at] = least
-                    known.append(other[:4])
+                    known.setdefault(other[1], []).append(other[2:4])
 
             for doc, rk, z, runs in zip(*(batch.column(c).to_pylist() for c in ("doc", "rk", "z", "runs")), strict=True):
                 t = unzip.decompress(z)
@@ -271,17 +274,19 @@ def _contents(joined: DataFrame, parts: int) -> DataFrame:
                     anchor, start, n = r["anchor"], r["start"], r["n"]
                     if r["hot"]:
                         for i in range(start, start + n):
-                            w = xxhash.xxh3_128_intdigest(t[i : i + WINDOW])
-                            meet((w, None), (doc, rk, i, 1, None))
+                            w = xxhash.xxh3_128_digest(t[i : i + WINDOW])
+                            meet((int.from_bytes(w[:8], "little", signed=True), w), (doc, rk, i, 1))
                     else:
-                        b = t[start : start + n + WINDOW - 1]
-                        meet((xxhash.xxh3_128_intdigest(b), anchor), (doc, rk, start, n, b))
-            signed = lambda x: x - (1 << 64) if x >> 63 else x
-            rows = []
-            for (c, anchor), (doc, rk, start, n, b) in best.items():
-                a = signed(c & (2**64 - 1)) if anchor is None else anchor
-                rows.append((a % parts, a, signed(c >> 64), signed(c & (2**64 - 1)), doc, rk, start, n, b))
-            rows.extend((rk % parts, None, None, None, doc, rk, start, n, None) for doc, rk, start, n in known)
+                        meet((anchor, t[start : start + n + WINDOW - 1]), (doc, rk, start, n))
+            rows = [(a % parts, a, c, *row) for (a, c), row in best.items()]
+            for rk, runs in known.items():
+                runs.sort()
+                at, upto = runs[0][0], runs[0][0]
+                for start, n in [*runs, (1 << 60, 0)]:
+                    if start > upto:
+                        rows.append((rk % parts, None, None, None, rk, at, upto - at))
+                        at = start
+                    upto = max(upto, start + n)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), _TYPES, strict=True)], names=[f.split()[0] for f in CONTENTS.split(", ")])
 
@@ -300,9 +305,9 @@ def _sort_group(rows: list[tuple]) -> list[tuple[int, int, int]]:
     n = np.array([r[3] for r in rows])
     first = np.cumsum(lens) - lens
     # Windows lie within their runs, so bytes of the next run behind them do no harm.
-    order = suffix_order(buf[: len(text)].astype(np.int64) + 1)
-    of = np.repeat(np.arange(len(rows)), lens)
-    off = np.arange(len(text)) - first[of]
+    order = suffix_order(buf[: len(text)].astype(np.int32) + 1)
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
+    off = np.arange(len(text), dtype=np.int32) - first[of].astype(np.int32)
     order = order[off[order] < n[of[order]]]
     same = _same_as_previous(buf, order, WINDOW)
     group = np.cumsum(np.append(True, ~same))
@@ -321,7 +326,7 @@ def _sort_group(rows: list[tuple]) -> list[tuple[int, int, int]]:
     return list(zip(rk[later].tolist(), at[later].tolist(), [1] * len(later), strict=True))
 
 
-def _settle(contents: DataFrame, parts: int, most: int = 4 << 20) -> DataFrame:
+def _settle(contents: DataFrame, parts: int, most: int = 1 << 20) -> DataFrame:
     """FLAGGED: duplicate windows, as runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,21 +339,22 @@ def _settle(contents: DataFrame, parts: int, most: int = 4 << 20) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), [pa.int64(), pa.int64(), pa.int32()], strict=True)], names=["rk", "start", "n"])
 
         for batch in batches:
-            for a, c1, c2, doc, rk, start, n, b in zip(*(batch.column(c).to_pylist() for c in ("anchor", "c1", "c2", "doc", "rk", "start", "n", "bytes")), strict=True):
+            for a, b, doc, rk, start, n in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "doc", "rk", "start", "n")), strict=True):
                 if a is None:
                     out.append((rk, start, n))
                     continue
                 if a != anchor:
                     if len(own) > 1:
-                        pending.extend(own)
-                        size += sum(len(r[4]) for r in own)
-                        if size > most:
+                        more = sum(len(r[4]) for r in own)
+                        if size and size + more > most:
                             out.extend(_sort_group(pending))
                             pending, size = [], 0
+                        pending.extend(own)
+                        size += more
                     anchor, content, own = a, None, []
-                if (c1, c2, n) != content:  # the first of equal ones is the earliest
-                    content, first = (c1, c2, n), (doc, rk, start)
-                    if b is not None:
+                if b != content:  # the first of equal ones is the earliest
+                    content, first = b, (doc, rk, start)
+                    if len(b) >= WINDOW:
                         own.append((doc, rk, start, n, b))
                 elif (doc, rk, start) != first:
                     out.append((rk, start, n))
@@ -356,13 +362,16 @@ def _settle(contents: DataFrame, parts: int, most: int = 4 << 20) -> DataFrame:
                 yield batch_of(out)
                 out = []
         if len(own) > 1:
+            if size and size + sum(len(r[4]) for r in own) > most:
+                out.extend(_sort_group(pending))
+                pending = []
             pending.extend(own)
         if pending:
             out.extend(_sort_group(pending))
         if out:
             yield batch_of(out)
 
-    return contents.repartitionById(parts, F.col("part")).sortWithinPartitions("anchor", "c1", "c2", "n", "doc", "rk", "start").mapInArrow(run, FLAGGED)
+    return contents.repartitionById(parts, F.col("part")).sortWithinPartitions("anchor", "content", "doc", "rk", "start").mapInArrow(run, FLAGGED)
 
 
 def _row_key() -> Column:
@@ -375,8 +384,9 @@ def duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     keyed = docs.select(order_id().alias("doc"), _row_key().alias("rk"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     long = keyed.where(F.octet_length("text") >= WINDOW)
     found = saved(_repeated(_runs(long.select("rk", "text"), parts), parts, hot), "repeated")
-    repeated, over = found.where("n is not null"), found.where("n is null").select("anchor", F.lit(True).alias("hot"))
-    repeated = repeated.join(over, "anchor", "left").fillna(False, ["hot"]) if over.limit(1).count() else repeated.withColumn("hot", F.lit(False))
+    # Hot anchors are a table of their own: the planner knows its size, and spares the runs a shuffle while it is small.
+    over = saved(found.where("n is null").select("anchor", F.lit(True).alias("hot")).coalesce(1), "hot")
+    repeated = found.where("n is not null").join(over, "anchor", "left").fillna(False, ["hot"])
     # A document has as many runs as it has windows at most.
     by_doc = repeated.groupBy("rk").agg(F.collect_set(F.struct("anchor", "start", "n", "hot")).alias("runs"))
 
