@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: word n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased. Every run of SEED words of
 a test item is a seed. One pass over the documents finds the seeds of each whole text and keeps, for every document and item
-that share any, the words around them. How many documents hold a seed is counted over all of them; a pair goes on to the
-alignment if it has a seed that is rare for its item, that is, held by no more documents than the item's median seed (so
-that an item which a third of all documents quote still has rare seeds). The alignment of the item with the passage
-(match +2, other word -1, gap -1) gives score / (2 * words of the item); from THRESHOLD on the document is contaminated.
+that share any, the words around them. How many documents hold a seed plays no part: copies of an item that is quoted
+everywhere are aligned like any other. A passage is left out only if so few of the item's words occur in it that no
+alignment can reach the threshold. The alignment of the item with the passage (match +2, other word -1, gap -1) gives
+score / (2 * words of the item); from THRESHOLD on the document is contaminated.
 
 Test items are taken in blocks of at most BLOCK_WORDS words, each a pass; a block is what every task holds in memory.
 
@@ -51,15 +51,15 @@ class Items:
             self.seeds.append(Lookup(keys[first]))
             self.holders.append((np.append(first, len(keys)), item))
 
-    def hits(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(item, seed hash, places) for the seeds of all items that occur among a text's words."""
+    def hits(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, places) for the seeds of all items that occur among a text's words."""
         for size, seeds, (first, item) in zip(self.sizes, self.seeds, self.holders, strict=True):
             if len(words) < size:
                 continue
             at, k = seeds(ngram_hashes(words, size))
             for key in np.unique(k).tolist():
                 for i in item[first[key] : first[key + 1]].tolist():
-                    yield i, int(seeds.keys[key].view(np.int64)), at[k == key]
+                    yield i, at[k == key]
 
 
 def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +94,15 @@ def _passages(places: np.ndarray, length: int, n_words: int) -> list[tuple[int,
     return out
 
 
-FOUND = "doc long, th long, item int, seeds array<long>, start array<int>, stop array<int>, words binary"
+def _may_reach(item: np.ndarray, passage: np.ndarray, threshold: float) -> bool:
+    """An alignment matches no more of the item's words than occur in the passage."""
+    return int(np.isin(item, passage).sum()) >= threshold * len(item)
 
 
-def _candidates(docs: DataFrame, items: Items) -> DataFrame:
+FOUND = "doc long, th long, item int, start array<int>, stop array<int>, words binary"
+
+
+def _candidates(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -106,16 +111,15 @@ def _candidates(docs: DataFrame, items: Items) -> DataFrame:
             for a, b in groups(texts):
                 h, n = word_hashes(texts[a:b], punctuation=True)
                 for k, words in enumerate(np.split(h, np.cumsum(n)[:-1])):
-                    found: dict[int, tuple[list, list]] = {}
-                    for i, seed, at in items.hits(words):
-                        own = found.setdefault(i, ([], []))
-                        own[0].append(seed)
-                        own[1].append(at)
-                    for i, (seeds, at) in found.items():
-                        spans = _passages(np.concatenate(at), len(items.words[i]), len(words))
-                        rows.append((int(doc[a + k]), int(th[a + k]), i, seeds, [s[0] for s in spans], [s[1] for s in spans], b"".join(words[s:e].tobytes() for s, e in spans)))
+                    found: dict[int, list] = {}
+                    for i, at in items.hits(words):
+                        found.setdefault(i, []).append(at)
+                    for i, at in found.items():
+                        spans = [(s, e) for s, e in _passages(np.concatenate(at), len(items.words[i]), len(words)) if _may_reach(items.words[i], words[s:e], threshold)]
+                        if spans:
+                            rows.append((int(doc[a + k]), int(th[a + k]), i, [s[0] for s in spans], [s[1] for s in spans], b"".join(words[s:e].tobytes() for s, e in spans)))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], names=[f.split()[0] for f in FOUND.split(", ")])
 
     return docs.select(order_id().alias("doc"), text_hash().alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, FOUND)
@@ -183,14 +187,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     for ids, items in _blocks(benchmark):
         if not items.sizes:
             continue
-        found = saved(_candidates(docs, items), "seeds")
-        seeds = found.select("doc", "th", "item", F.explode("seeds").alias("seed"))
-        held = seeds.groupBy("item", "seed").agg(F.count(F.lit(1)).alias("docs"))
-        # All of an item's seeds: at most as many as it has words.
-        median = held.groupBy("item").agg(F.expr("percentile_disc(0.5) within group (order by docs)").alias("most"))
-        rare = held.join(median, "item").where("docs <= most").select("item", "seed")
-        pairs = seeds.join(rare, ["item", "seed"]).select("doc", "th", "item").distinct()
-        scored = _align(found.join(pairs, ["doc", "th", "item"], "left_semi"), items, threshold).groupBy("doc", "th", "item").agg(F.max(F.struct("score", "matches", "first_word", "last_word")).alias("s"))
+        found = saved(_candidates(docs, items, threshold), "seeds")
+        scored = _align(found.repartition("doc", "th", "item"), items, threshold).groupBy("doc", "th", "item").agg(F.max(F.struct("score", "matches", "first_word", "last_word")).alias("s"))
         names = spark.createDataFrame(pa.table({"item": pa.array(range(len(ids)), pa.int32()), "item_id": pa.array(ids, pa.int64())}))
         part = scored.join(names, "item").select("doc", "th", "item_id", "s.score", "s.matches", "s.first_word", "s.last_word")
         out = part if out is None else out.unionByName(part)

@@ -64,3 +64,17 @@ def test_against_brute_force(spark):
     assert left.columns == docs.columns and {(NULL_ID if r.doc_id is None else r.doc_id) for r in left.collect()} >= {201, 202}
     assert left.where("doc_id in (200, 203, 204, 205)").count() == 0
     assert D.contaminated(docs.limit(0), bench).count() == 0 and D.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_edited_copy_beside_exact_ones(spark):
+    """Whole copies elsewhere raise the counts of the very seeds that an edited copy has lost."""
+    item = [f"w{i}" for i in range(50)]
+    edited = {n: ["x" if i % (50 // n) == 2 and i // (50 // n) < n else w for i, w in enumerate(item)] for n in (8, 10, 12)}
+    rows = [(0, " ".join(item)), (1, "so " + " ".join(item))] + [(n, "a b c " + " ".join(w)) for n, w in edited.items()]
+    rows += [(100 + i, " ".join(item[i : i + 5]) + " and no more of it") for i in range(40)]
+    for copies in (rows[:1] + rows[2:3], rows[:1] + rows[3:4], rows):
+        docs = spark.createDataFrame([(d, t, "e", 1) for d, t in copies], DOCS)
+        got = {g.doc: g.score for g in D.contaminated(docs, spark.createDataFrame([(7, " ".join(item), 3)], ITEMS)).collect()}
+        want = {d: brute_align(item, t.split()) / (D.MATCH * len(item)) for d, t in copies}
+        assert got == {d: s for d, s in want.items() if s >= D.THRESHOLD}
+        assert set(got) == {d for d, _ in copies if d < 100}
