@@ -10,6 +10,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "part lineitem documents".split()
 FILTERS = {
     "gr9_merge_makes_cycle": " AND r.importer % 4 = 0",
+    "gr5_is_reachable": " WHERE a.module_idx <= 120 AND b.module_idx <= 120",
 }
 
 
