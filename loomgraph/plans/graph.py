@@ -163,7 +163,7 @@ def gr12(spark, sf):
 @query("gr13_wrap", with_(MODULES, RECORDS, """w AS (SELECT DISTINCT importee AS module_idx FROM import_records WHERE kind = 'require-call' AND importer % 10 = 0 UNION SELECT i.importee FROM w JOIN import_records i ON i.importer = w.module_idx)""", recursive=True) + """SELECT w.module_idx, EXISTS (SELECT 1 FROM import_records r WHERE r.importee = w.module_idx AND r.kind = 'require-call') AS required FROM w""")
 def gr13(spark, sf):
     rec = kept(D.import_records(spark, sf))
-    seeds = rec.where("kind = 'require-call' and importer % 10 = 0").select(F.col("importee").alias("module_idx"))
+    seeds = rec.where("kind = 'require-call'").select(F.col("importee").alias("module_idx"))
     required = rec.where("kind = 'require-call'").select(F.col("importee").alias("module_idx"), F.lit(True).alias("required")).distinct()
     return closure(seeds, edges_of(rec), "module_idx").join(required, "module_idx", "left").fillna(False, ["required"])
 

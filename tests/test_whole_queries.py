@@ -11,6 +11,7 @@ TABLES = "part lineitem documents".split()
 FILTERS = {
     "gr9_merge_makes_cycle": " AND r.importer % 4 = 0",
     "gr5_is_reachable": " WHERE a.module_idx <= 120 AND b.module_idx <= 120",
+    "gr13_wrap": " AND importer % 10 = 0",
 }
 
 
