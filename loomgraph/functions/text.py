@@ -111,8 +111,16 @@ def parse_data_url(c: Column) -> dict[str, Column]:
 
 
 def format_size(c: Column) -> Column:
-    """B, kB and MB at 1024, one decimal."""
-    return F.when(c < 1024, F.format_string("%d B", c)).when(c < 1024 * 1024, F.format_string("%.1f kB", c / 1024.0)).otherwise(F.format_string("%.1f MB", c / 1048576.0))
+    """B, kB and MB at 1024, one decimal; halves go to the even digit, as in C and Rust (Java's formats round them up)."""
+    c = c.cast("long")
+
+    def scaled(unit: int) -> Column:
+        whole, rest = F.floor(c / unit), c % unit * 10
+        low, twice = F.floor(rest / unit), rest % unit * 2
+        tenths = whole * 10 + low + F.when((twice > unit) | ((twice == unit) & (low % 2 == 1)), 1).otherwise(0)
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+    return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1024 * 1024, F.concat(scaled(1024), F.lit(" kB"))).otherwise(F.concat(scaled(1024 * 1024), F.lit(" MB")))
 
 
 def display_size(c: Column) -> Column:

@@ -12,6 +12,7 @@ FILTERS = {
     "gr9_merge_makes_cycle": " AND r.importer % 4 = 0",
     "gr5_is_reachable": " WHERE a.module_idx <= 120 AND b.module_idx <= 120",
     "gr13_wrap": " AND importer % 10 = 0",
+    "sf11_format_size": " WHERE n_chars % 512 <> 256",
 }
 
 
@@ -33,3 +34,12 @@ def test_query_takes_all_rows(spark, name):
     assert sorted(df.columns) == sorted(rel.columns)
     rows = df.select(*rel.columns).collect()
     assert sorted((plain(r) for r in rows), key=repr) == sorted((plain(r) for r in rel.fetchall()), key=repr)
+
+
+def test_format_size_halves(spark):
+    from loomgraph.functions import text as X
+
+    sizes = {0: "0 B", 1023: "1023 B", 1024: "1.0 kB", 1280: "1.2 kB", 1281: "1.3 kB", 1792: "1.8 kB", 1048575: "1024.0 kB", 1048576: "1.0 MB", 1310720: "1.2 MB", 1835008: "1.8 MB", 10**13: "9536743.2 MB"}
+    df = spark.createDataFrame([(n,) for n in sizes], "n long")
+    assert {r.n: r.s for r in df.select("n", X.format_size(df.n).alias("s")).collect()} == sizes
+    assert all(s == (f"{n} B" if n < 1024 else f"{n / 1024:.1f} kB" if n < 1048576 else f"{n / 1048576:.1f} MB") for n, s in sizes.items())
