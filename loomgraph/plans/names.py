@@ -228,7 +228,7 @@ def tx1(spark, sf):
 
 
 def apply_edits(text, edits):
-    """Edits struct(start, end, content) (0-based, end exclusive, not overlapping) on the original text, left to right."""
+    """Edits struct(start, end, content) (0-based, end exclusive, not overlapping) on the original text, left to right; clipped to its end, null for null."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     ordered = F.array_sort(edits)
     done = F.aggregate(ordered, start, lambda s, e: F.struct(e.end.cast("int").alias("at"), F.concat(s.out, F.substr(text, s["at"] + 1, e.start - s["at"]), e.content).alias("out")))
@@ -241,24 +241,24 @@ LONG = "length(text) >= 40"
 
 @query("tx2_update_range", f"SELECT doc_id, '<' || substr(text, 4, 7) || 'two' || substr(text, 21) AS out FROM documents WHERE {LONG}")
 def tx2(spark, sf):
-    return _docs(spark, sf).where(LONG).select("doc_id", apply_edits(F.col("text"), F.array(EDIT(10, 20, "two"), EDIT(0, 3, "<"))).alias("out"))
+    return _docs(spark, sf).select("doc_id", apply_edits(F.col("text"), F.array(EDIT(10, 20, "two"), EDIT(0, 3, "<"))).alias("out"))
 
 
 @query("tx3_append_prepend", f"SELECT doc_id, 'intro' || substr(text, 1, 5) || 'LR' || substr(text, 6) || 'outro' AS out FROM documents WHERE {LONG}")
 def tx3(spark, sf):
-    return _docs(spark, sf).where(LONG).select("doc_id", F.concat(F.lit("intro"), apply_edits(F.col("text"), F.array(EDIT(5, 5, "LR"))), F.lit("outro")).alias("out"))
+    return _docs(spark, sf).select("doc_id", F.concat(F.lit("intro"), apply_edits(F.col("text"), F.array(EDIT(5, 5, "LR"))), F.lit("outro")).alias("out"))
 
 
 @query("tx4_remove_relocate", f"SELECT doc_id, substr(text, 1, 5) || substr(text, 11) AS removed, substr(text, 6, 5) || substr(text, 1, 5) || substr(text, 11) AS moved, substr(text, 6, 5) AS snip FROM documents WHERE {LONG}")
 def tx4(spark, sf):
     t = F.col("text")
     removed = apply_edits(t, F.array(EDIT(5, 10, "")))
-    return _docs(spark, sf).where(LONG).select("doc_id", removed.alias("removed"), F.concat(F.substring(t, 6, 5), removed).alias("moved"), F.substring(t, 6, 5).alias("snip"))
+    return _docs(spark, sf).select("doc_id", removed.alias("removed"), F.concat(F.substring(t, 6, 5), removed).alias("moved"), F.substring(t, 6, 5).alias("snip"))
 
 
 @query("tx5_slice_reset", f"SELECT doc_id, substr(text, 9, 17) AS slice, right(text, 4) AS tail FROM documents WHERE {LONG}")
 def tx5(spark, sf):
-    return _docs(spark, sf).where(LONG).select("doc_id", F.substring("text", 9, 17).alias("slice"), F.right("text", F.lit(4)).alias("tail"))
+    return _docs(spark, sf).select("doc_id", F.substring("text", 9, 17).alias("slice"), F.right("text", F.lit(4)).alias("tail"))
 
 
 @query("tx6_trim", "SELECT doc_id, regexp_replace(text, '^[A-Ta-t]+', '') AS start, regexp_replace(text, '[.\\s]+$', '') AS end, regexp_replace(text, '^\\n+', '') AS lines FROM documents")

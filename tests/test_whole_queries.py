@@ -13,6 +13,10 @@ FILTERS = {
     "gr5_is_reachable": " WHERE a.module_idx <= 120 AND b.module_idx <= 120",
     "gr13_wrap": " AND importer % 10 = 0",
     "sf11_format_size": " WHERE n_chars % 512 <> 256",
+    "tx2_update_range": " WHERE length(text) >= 40",
+    "tx3_append_prepend": " WHERE length(text) >= 40",
+    "tx4_remove_relocate": " WHERE length(text) >= 40",
+    "tx5_slice_reset": " WHERE length(text) >= 40",
 }
 
 
@@ -43,3 +47,18 @@ def test_format_size_halves(spark):
     df = spark.createDataFrame([(n,) for n in sizes], "n long")
     assert {r.n: r.s for r in df.select("n", X.format_size(df.n).alias("s")).collect()} == sizes
     assert all(s == (f"{n} B" if n < 1024 else f"{n / 1024:.1f} kB" if n < 1048576 else f"{n / 1048576:.1f} MB") for n, s in sizes.items())
+
+
+def test_edits_beyond_the_end(spark, tmp_path):
+    """Edits are clipped to the text; those of a null text are null."""
+    texts = [None, "", "abc", "abcdefgh", "abcdefghijklmno", "abcdefghijklmnopqrstuvw"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {
+        "tx2_update_range": lambda t: ("<" + t[3:10] + "two" + t[20:],),
+        "tx3_append_prepend": lambda t: ("intro" + t[:5] + "LR" + t[5:] + "outro",),
+        "tx4_remove_relocate": lambda t: (t[:5] + t[10:], t[5:10] + t[:5] + t[10:], t[5:10]),
+        "tx5_slice_reset": lambda t: (t[8:25], t[-4:]),
+    }
+    for name, f in want.items():
+        got = {r[0]: tuple(r[1:]) for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+        assert got == {i: f(t) if t is not None else (None,) * len(f("")) for i, t in enumerate(texts)}, name
