@@ -16,14 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 1000
-#: Steps that are taken before the result of a round is written.
-HOPS = 3
+#: A round that begins with no more new rows than this takes HOPS steps at once: its fixed cost outweighs what is met twice.
+FEW_ROWS = 200_000
+HOPS = 4
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; where that is unset (no cluster), in a temporary one."""
+    """A new path in the folder that spark.checkpoint.dir names; where that is unset, in a temporary one, with a local master only."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="loomgraph-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         at = "file://" + own
@@ -45,18 +48,19 @@ def some(df: DataFrame) -> bool:
 def least_fixpoint(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = MAX_ROUNDS) -> DataFrame:
     """The smallest set of rows that holds ``seeds`` and, with any rows, what ``step`` makes of them.
 
-    ``step`` must distribute over unions (it sees the rows that the last round added). Raises if it isn't reached.
+    ``step`` must distribute over unions: it sees only the rows that the last round added. What it joins them with should
+    be ``kept``, for it is read anew every round. Raises if the fixpoint isn't reached.
     """
-    seen = new = kept(seeds.distinct())
-    parts = [seen]
+    new = kept(seeds.distinct())
+    parts, n = [new], new.count()
     for _ in range(rounds):
-        hop, found = new, None
-        for _ in range(HOPS):  # a round's fixed cost outweighs what is met again within it
-            hop = step(hop).select(*seeds.columns).distinct()
-            found = hop if found is None else found.unionByName(hop)
-        new = kept(_without(found.distinct(), parts))
-        if not some(new):
+        if not n:
             return _together(parts)
+        hops = [new]
+        for _ in range(HOPS if n <= FEW_ROWS else 1):
+            hops.append(step(hops[-1]).select(*seeds.columns).distinct())
+        new = kept(_without(_together(hops[1:]).distinct() if len(hops) > 2 else hops[1], parts))
+        n = new.count()
         parts.append(new)
         if len(parts) > 12:  # keep the union short
             parts = [kept(_together(parts))]
@@ -84,7 +88,7 @@ def closure(seeds: DataFrame, edges: DataFrame, at: str, src: str = "src", dst:
 
     Other columns of the seeds go along: with (entry, module) it is the closure of all entries at once.
     """
-    step_edges = edges.select(F.col(src).alias("__src"), F.col(dst).alias("__dst")).distinct()
+    step_edges = kept(edges.select(F.col(src).alias("__src"), F.col(dst).alias("__dst")).distinct())
     rest = [c for c in seeds.columns if c != at]
 
     def step(new: DataFrame) -> DataFrame:
@@ -126,9 +130,51 @@ def roots(links: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"pointers aren't settled in {rounds} rounds; is there a cycle?")
 
 
-def components(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
-    """v, label: strongly connected components by the smallest vertex that reaches and is reached; by both closures."""
-    pairs = strict_closure(edges, rounds)
-    back = pairs.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    mutual = pairs.join(back, (pairs.src == back.a) & (pairs.dst == back.b))
-    return mutual.groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("label"), F.count(F.lit(1)).alias("size"))
+def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
+    """``edges`` without those of vertices that nothing leads to, or that lead nowhere: these are on no cycle."""
+    for _ in range(rounds):
+        into, out = edges.select(F.col("dst").alias("__v")).distinct(), edges.select(F.col("src").alias("__v")).distinct()
+        edges = kept(edges.join(into, F.col("src") == F.col("__v"), "left_semi").join(out, F.col("dst") == F.col("__v"), "left_semi"))
+    return edges
+
+
+def components(edges: DataFrame, rounds: int = MAX_ROUNDS, trims: int = 2) -> DataFrame:
+    """v, label, size: strongly connected components with a cycle, labelled by their smallest vertex.
+
+    By colouring, in O(V + E) rows a round: every vertex takes the least vertex that leads to it, in an order drawn anew each
+    time; those that lead back to their colour's own vertex are its component. What is settled goes, and the rest is coloured again.
+    """
+    left = kept(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    loops = left.where("src = dst").select(F.col("src").alias("v"), F.col("dst").alias("label"), F.lit(-1).cast("long").alias("turn"))
+    found, left = [kept(loops)], kept(left.where("src <> dst"))
+    for turn in range(rounds):
+        left = _trimmed(left, trims)
+        if not some(left):
+            break
+        order = lambda v: F.struct(F.xxhash64(v, F.lit(turn)).alias("h"), F.col(v).alias("v"))  # noqa: B023, E731
+        vertices = left.select(F.col("src").alias("v")).union(left.select("dst")).distinct()
+        colour = new = kept(vertices.select("v", order("v").alias("c")))
+        few = left.count() <= FEW_ROWS
+        for _ in range(rounds):
+            now, moving = colour.withColumn("was", F.col("c")), new
+            for _ in range(HOPS if few else 1):
+                offered = left.join(moving.select(F.col("v").alias("src"), "c"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("offer"))
+                now = now.join(offered, "v", "left").select("v", F.least("c", F.coalesce("offer", "c")).alias("c"), "was")
+                moving = now.where("c < was").select("v", "c")
+            now = kept(now)
+            colour, new = now.select("v", "c"), now.where("c < was").select("v", "c")
+            if not some(new):
+                break
+        own = colour.select("v", F.col("c.v").alias("label"))
+        one, two = own.select(F.col("v").alias("src"), F.col("label").alias("a")), own.select(F.col("v").alias("dst"), F.col("label").alias("b"))
+        back = left.join(one, "src").join(two, "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        settled = kept(closure(own.where("v = label").select("label", "v"), back, "v", rounds=rounds).select("v", "label"))
+        found.append(settled.withColumn("turn", F.lit(turn).cast("long")))
+        gone = settled.select(F.col("v").alias("__v"))
+        left = kept(left.join(gone, F.col("src") == F.col("__v"), "left_anti").join(gone, F.col("dst") == F.col("__v"), "left_anti"))
+    else:
+        raise RuntimeError(f"not settled in {rounds} rounds")
+    # A vertex with a loop may be in a larger component too.
+    member = _together(found).groupBy("v").agg(F.max_by("label", "turn").alias("root"), F.bool_or(F.col("turn") < 0).alias("loop"))
+    named = member.groupBy("root").agg(F.min("v").alias("label"), F.count(F.lit(1)).alias("size"), F.bool_or("loop").alias("loop")).where("size > 1 or loop")
+    return member.select("v", "root").join(named.select("root", "label", "size"), "root").select("v", "label", "size")

@@ -158,7 +158,7 @@ def sf10(spark, sf):
     return _docs(spark, sf).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
 
 
-@query("sf11_format_size", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f kB', n_chars / 1024.0) ELSE printf('%.1f MB', n_chars / 1048576.0) END AS size FROM documents WHERE n_chars % 512 <> 256")
+@query("sf11_format_size", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f kB', n_chars / 1024.0) ELSE printf('%.1f MB', n_chars / 1048576.0) END AS size FROM documents")
 def sf11(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.format_size(F.col("n_chars")).alias("size"))
 
@@ -236,27 +236,26 @@ def apply_edits(text, edits):
 
 
 EDIT = lambda a, b, c: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(c).alias("content"))
-LONG = "length(text) >= 40"
 
 
-@query("tx2_update_range", f"SELECT doc_id, '<' || substr(text, 4, 7) || 'two' || substr(text, 21) AS out FROM documents WHERE {LONG}")
+@query("tx2_update_range", "SELECT doc_id, '<' || substr(text, 4, 7) || 'two' || substr(text, 21) AS out FROM documents")
 def tx2(spark, sf):
     return _docs(spark, sf).select("doc_id", apply_edits(F.col("text"), F.array(EDIT(10, 20, "two"), EDIT(0, 3, "<"))).alias("out"))
 
 
-@query("tx3_append_prepend", f"SELECT doc_id, 'intro' || substr(text, 1, 5) || 'LR' || substr(text, 6) || 'outro' AS out FROM documents WHERE {LONG}")
+@query("tx3_append_prepend", "SELECT doc_id, 'intro' || substr(text, 1, 5) || 'LR' || substr(text, 6) || 'outro' AS out FROM documents")
 def tx3(spark, sf):
     return _docs(spark, sf).select("doc_id", F.concat(F.lit("intro"), apply_edits(F.col("text"), F.array(EDIT(5, 5, "LR"))), F.lit("outro")).alias("out"))
 
 
-@query("tx4_remove_relocate", f"SELECT doc_id, substr(text, 1, 5) || substr(text, 11) AS removed, substr(text, 6, 5) || substr(text, 1, 5) || substr(text, 11) AS moved, substr(text, 6, 5) AS snip FROM documents WHERE {LONG}")
+@query("tx4_remove_relocate", "SELECT doc_id, substr(text, 1, 5) || substr(text, 11) AS removed, substr(text, 6, 5) || substr(text, 1, 5) || substr(text, 11) AS moved, substr(text, 6, 5) AS snip FROM documents")
 def tx4(spark, sf):
     t = F.col("text")
     removed = apply_edits(t, F.array(EDIT(5, 10, "")))
     return _docs(spark, sf).select("doc_id", removed.alias("removed"), F.concat(F.substring(t, 6, 5), removed).alias("moved"), F.substring(t, 6, 5).alias("snip"))
 
 
-@query("tx5_slice_reset", f"SELECT doc_id, substr(text, 9, 17) AS slice, right(text, 4) AS tail FROM documents WHERE {LONG}")
+@query("tx5_slice_reset", "SELECT doc_id, substr(text, 9, 17) AS slice, right(text, 4) AS tail FROM documents")
 def tx5(spark, sf):
     return _docs(spark, sf).select("doc_id", F.substring("text", 9, 17).alias("slice"), F.right("text", F.lit(4)).alias("tail"))
 
@@ -286,13 +285,13 @@ def tx9(spark, sf):
 WORDS = {"the": "DER", "then": "DANN", "and": "UND"}
 
 
-@query("tx10_dictionary", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\bthen\\b', 'DANN', 'g'), '\\bthe\\b', 'DER', 'g'), '\\band\\b', 'UND', 'g') AS out FROM documents WHERE regexp_matches(text, '^[ -~\\n]*$')")
+@query("tx10_dictionary", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\bthen\\b', 'DANN', 'g'), '\\bthe\\b', 'DER', 'g'), '\\band\\b', 'UND', 'g') AS out FROM documents")
 def tx10(spark, sf):
-    """Whole words, longest keys first; each text is scanned once a key."""
+    """Whole words, longest keys first; each text is scanned once a key. Words end at what isn't an ASCII letter, digit or underscore."""
     out = F.col("text")
     for k in sorted(WORDS, key=lambda k: (-len(k), k)):
-        out = F.regexp_replace(out, rf"\b{k}\b", WORDS[k])
-    return _docs(spark, sf).where(F.col("text").rlike(r"^[ -~\n]*\z")).select("doc_id", out.alias("out"))
+        out = F.regexp_replace(out, rf"(?<![0-9A-Za-z_]){k}(?![0-9A-Za-z_])", WORDS[k])
+    return _docs(spark, sf).select("doc_id", out.alias("out"))
 
 
 @query("tx11_typeof_guards", "SELECT page_id, replace(replace('typeof window; ' || url, 'typeof window', '\"object\"'), 'http', 'HTTP') AS out FROM pages")
