@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, a temporary one, with a local master only."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="loomgraph-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         at = "file://" + own
@@ -144,7 +146,7 @@ def word_hashes(texts: list[bytes], punctuation: bool = False, prefixes: tuple[i
     return h, np.diff(np.searchsorted(starts, bounds)), *more
 
 
-def groups(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def groups(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``most`` bytes."""
     start = total = 0
     for i, t in enumerate(texts):

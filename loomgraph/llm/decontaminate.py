@@ -1,21 +1,28 @@
-"""Benchmark decontamination: word n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased. Every run of SEED words of
-a test item is a seed. One pass over the documents finds the seeds of each whole text and keeps, for every document and item
-that share any, the words around them. How many documents hold a seed plays no part: copies of an item that is quoted
-everywhere are aligned like any other. A passage is left out only if so few of the item's words occur in it that no
-alignment can reach the threshold. The alignment of the item with the passage (match +2, other word -1, gap -1) gives
-score / (2 * words of the item); from THRESHOLD on the document is contaminated.
-
-Test items are taken in blocks of at most BLOCK_WORDS words, each a pass; a block is what every task holds in memory.
-
-Cases: null and empty texts hold nothing; items without words are never found, shorter ones have one seed of all their
-words; null doc_ids and item_ids are ids; rows that share a doc_id are told apart by text; equal rows give one result;
-other columns are ignored; an empty table of either kind gives no rows.
+a test item is a seed (of a shorter item, all its words are). One pass over the documents finds the seeds of each whole
+text. A seed that many items share is no evidence of any of them: what a seed's items must show besides is that enough of
+their words occur in the document, and then that enough occur about the seed, for an alignment to reach the threshold. Both
+bounds are exact (an alignment matches no more of the item's words than occur there), so no pair is lost by them, however
+many documents or items hold a seed. What is left is aligned: match +2, other word -1, gap -1; score / (2 * words of the item)
+of THRESHOLD or more makes the document contaminated. An alignment counts if it lies within reach of a seed, and for one
+of that score, reach is as far as it can extend.
+
+Test items are taken in blocks of at most BLOCK_WORDS words (or of one item that is longer), each a pass over the documents;
+a block is what the driver and every task hold in memory, and no document's text leaves its task.
+
+Cases: null and empty texts hold nothing; items that are null or without words are never found; null doc_ids and item_ids are
+ids; rows that share a doc_id are told apart by a hash of their text; equal rows give one result; very long texts are read
+whole, in one task each, and very long items aligned row by row; of alignments with equal scores that in the first passage is
+reported, and within it the one that ends first in the item, then in the text, from the start that
+matches most words, the nearest of these; other columns are ignored, whatever their
+names (``clean`` keeps them; ``__doc`` and ``__th`` are its own); an empty table of either kind gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +35,8 @@ from loomgraph.llm.common import Lookup, groups, ngram_hashes, order_id, saved,
 SEED = 3
 THRESHOLD = 0.5
 MATCH, MISS, GAP = 2, -1, -1
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
+_UNIT = 1 << 24
 
 
 class Items:
@@ -51,24 +59,50 @@ class Items:
             self.seeds.append(Lookup(keys[first]))
             self.holders.append((np.append(first, len(keys)), item))
 
-    def hits(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(item, places) for the seeds of all items that occur among a text's words."""
+        every = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
+        known, self.place = np.unique(every, return_inverse=True)
+        self.vocabulary = Lookup(known) if len(known) else None
+        self.length = np.array([len(w) for w in self.words], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+
+    def hits(self, words: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, places) for the seeds that occur among a text's words, of items of which enough words occur there."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for size, seeds, (first, item) in zip(self.sizes, self.seeds, self.holders, strict=True):
             if len(words) < size:
                 continue
             at, k = seeds(ngram_hashes(words, size))
-            for key in np.unique(k).tolist():
-                for i in item[first[key] : first[key + 1]].tolist():
-                    yield i, at[k == key]
-
-
-def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best local alignment of ``item`` with each row of ``passages`` (padded by zeros): score, place after its last word."""
+            if len(k):
+                key, back = np.unique(k, return_inverse=True)
+                order = np.argsort(back, kind="stable")
+                ends = np.cumsum(np.bincount(back))
+                found += [(item[first[x] : first[x + 1]], at[order[ends[i - 1] if i else 0 : ends[i]]]) for i, x in enumerate(key.tolist())]
+        if not found:
+            return
+        some = np.unique(np.concatenate([i for i, _ in found]))
+        # The bound by the whole text, for all these items at once.
+        there = np.zeros(len(self.vocabulary.keys), bool)
+        there[self.vocabulary(words)[1]] = True
+        n = self.length[some]
+        ends = np.cumsum(n)
+        of = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(self.first[some], n)
+        enough = np.add.reduceat(there[self.place[of]].astype(np.int64), ends - n) >= threshold * n
+        places: dict[int, list[np.ndarray]] = {int(i): [] for i in some[enough]}
+        for items, at in found:
+            for i in items.tolist():
+                if i in places:
+                    places[i].append(at)
+        for i, own in places.items():
+            yield i, np.concatenate(own)
+
+
+def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best local alignment of ``item`` with each row of ``passages`` (padded by zeros): score, places after its last words in the item and in the passage."""
     n, m = passages.shape
     row = np.zeros((n, m + 1), np.int32)
-    best, end = np.zeros(n, np.int32), np.zeros(n, np.int64)
+    best, upto, end = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
     ramp = -GAP * np.arange(m + 1, dtype=np.int32)
-    for w in item:
+    for i, w in enumerate(item):
         new = np.zeros_like(row)
         np.maximum(row[:, :-1] + np.where(passages == w, MATCH, MISS), row[:, 1:] + GAP, out=new[:, 1:])
         np.maximum(new, 0, out=new)
@@ -76,14 +110,37 @@ def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarra
         top = new.argmax(1)
         score = new[np.arange(n), top]
         up = score > best
-        best[up], end[up] = score[up], top[up]
+        best[up], upto[up], end[up] = score[up], i + 1, top[up]
         row = new
-    return best, end
-
-
-def _passages(places: np.ndarray, length: int, n_words: int) -> list[tuple[int, int]]:
-    """Ranges of words about the seeds' places that hold every alignment worth reporting, overlapping ones joined."""
-    reach = 2 * length
+    return best, upto, end
+
+
+def traced(item: np.ndarray, passage: np.ndarray, upto: int, end: int) -> tuple[int, int]:
+    """Of the best alignment that ends before these places: its first word in the passage, and how many words match.
+
+    The same recurrence backwards from the end, without a fresh start, on scores that carry the number of matches along: as much
+    memory as one row.
+    """
+    a, b = item[:upto][::-1], passage[:end][::-1][: 3 * upto + 1]
+    ramp = -GAP * _UNIT * np.arange(len(b) + 1, dtype=np.int64)
+    row, best, at = -ramp, 0, 0
+    for w in a:
+        new = np.empty_like(row)
+        new[0] = row[0] + GAP * _UNIT
+        np.maximum(row[:-1] + np.where(b == w, MATCH * _UNIT + 1, MISS * _UNIT), row[1:] + GAP * _UNIT, out=new[1:])
+        row = np.maximum.accumulate(new + ramp) - ramp
+        top = int(row.argmax())
+        if row[top] > best:
+            best, at = int(row[top]), top
+    return end - at, best % _UNIT
+
+
+def _passages(places: np.ndarray, length: int, n_words: int, threshold: float) -> list[tuple[int, int]]:
+    """Ranges of words about the seeds' places that hold every alignment worth reporting, overlapping ones joined.
+
+    An alignment with m matches and e edits scores 2 m - e, so from the threshold on it has at most 2 (1 - threshold) * length edits.
+    """
+    reach = length + math.ceil(2 * (1 - threshold) * length)
     out: list[tuple[int, int]] = []
     for p in np.sort(places).tolist():
         a, b = max(0, p - reach), min(n_words, p + SEED + reach)
@@ -111,11 +168,8 @@ def _candidates(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
             for a, b in groups(texts):
                 h, n = word_hashes(texts[a:b], punctuation=True)
                 for k, words in enumerate(np.split(h, np.cumsum(n)[:-1])):
-                    found: dict[int, list] = {}
-                    for i, at in items.hits(words):
-                        found.setdefault(i, []).append(at)
-                    for i, at in found.items():
-                        spans = [(s, e) for s, e in _passages(np.concatenate(at), len(items.words[i]), len(words)) if _may_reach(items.words[i], words[s:e], threshold)]
+                    for i, at in items.hits(words, threshold):
+                        spans = [(s, e) for s, e in _passages(at, len(items.words[i]), len(words), threshold) if _may_reach(items.words[i], words[s:e], threshold)]
                         if spans:
                             rows.append((int(doc[a + k]), int(th[a + k]), i, [s[0] for s in spans], [s[1] for s in spans], b"".join(words[s:e].tobytes() for s, e in spans)))
             if rows:
@@ -147,32 +201,38 @@ def _align(pairs: DataFrame, items: Items, threshold: float) -> DataFrame:
                     grid = np.zeros((len(part), most), np.uint64)
                     for i, r in enumerate(part):
                         grid[i, : len(r[3])] = r[3]
-                    score, end = align(own, grid)
+                    score, upto, end = align(own, grid)
                     for i in np.flatnonzero(score >= threshold * MATCH * len(own)).tolist():
                         doc, th, s, w = part[i]
-                        e = int(end[i])
-                        new = (float(score[i]) / (MATCH * len(own)), int(np.isin(own, w[max(0, e - 2 * len(own)) : e]).sum()), s + max(0, e - len(own)), s + e)
-                        if new > best.get((doc, th, item), (0,)):
+                        new = (-int(score[i]), s + int(end[i]), int(upto[i]), int(end[i]), w)
+                        if new[:2] < best.get((doc, th, item), (1,))[:2]:
                             best[doc, th, item] = new
             if best:
-                cols = list(zip(*((*k, *v) for k, v in best.items()), strict=True))
+                rows = []
+                for (doc, th, item), (score, stop, upto, end, w) in best.items():
+                    own = items.words[item]
+                    first, matches = traced(own, w, upto, end)
+                    rows.append((doc, th, item, -score / (MATCH * len(own)), matches, stop - end + first, stop - 1))
+                cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SCORED.split(", ")])
 
     return pairs.select("doc", "th", "item", "start", "stop", "words").mapInArrow(run, SCORED)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, Items]]:
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[tuple[list, Items]]:
     ids: list = []
     texts: list[bytes] = []
     words = 0
     for r in benchmark.select("item_id", "text").where("text is not null").distinct().toLocalIterator():  # a block at a time
-        ids.append(r.item_id)
-        texts.append(r.text.encode())
-        words += r.text.count(" ") + 1
-        if words >= BLOCK_WORDS:
+        text = r.text.encode()
+        n = len(word_hashes([text], punctuation=True)[0])
+        if texts and words + n > most:
             yield ids, Items(texts)
             ids, texts, words = [], [], 0
+        ids.append(r.item_id)
+        texts.append(text)
+        words += n
     if texts:
         yield ids, Items(texts)
 
@@ -180,15 +240,15 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, Items]]:
 RESULT = "doc long, th long, item_id long, score double, matches int, first_word int, last_word int"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """RESULT: one row for each document (by ``order_id`` and ``text_hash``) and test item of which it holds a copy."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """RESULT: one row for each document (by ``order_id`` and ``text_hash``) and test item of which it holds a copy: its score, matched words, and first and last word."""
     spark = docs.sparkSession
     out = None
-    for ids, items in _blocks(benchmark):
+    for ids, items in _blocks(benchmark, block_words):
         if not items.sizes:
             continue
         found = saved(_candidates(docs, items, threshold), "seeds")
-        scored = _align(found.repartition("doc", "th", "item"), items, threshold).groupBy("doc", "th", "item").agg(F.max(F.struct("score", "matches", "first_word", "last_word")).alias("s"))
+        scored = _align(found.repartition("doc", "th", "item"), items, threshold).groupBy("doc", "th", "item").agg(F.max_by(F.struct("score", "matches", "first_word", "last_word"), F.struct("score", -F.col("last_word"), "first_word")).alias("s"))
         names = spark.createDataFrame(pa.table({"item": pa.array(range(len(ids)), pa.int32()), "item_id": pa.array(ids, pa.int64())}))
         part = scored.join(names, "item").select("doc", "th", "item_id", "s.score", "s.matches", "s.first_word", "s.last_word")
         out = part if out is None else out.unionByName(part)
