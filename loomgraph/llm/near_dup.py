@@ -1,9 +1,11 @@
-"""Near-duplicate classes by a containment ensemble of MinHash bandings.
+"""Near-duplicate classes by a containment ensemble of MinHash bandings, and a search for the documents that contain others.
 
 A document is the set of its 5-word shingles (white-space separated, A-Z lower-cased; one shingle of all words if there are
-fewer). Two documents are near duplicates if the larger set is contained in the smaller by THRESHOLD or more:
-|A & B| >= THRESHOLD * max(|A|, |B|). So everything with a Jaccard similarity of THRESHOLD is found, and a short text
-that merely occurs in a long one isn't. Classes are the connected components of that relation.
+fewer). ``classes``: two documents are near duplicates if the larger set is contained in the smaller by THRESHOLD or more,
+|A & B| >= THRESHOLD * max(|A|, |B|). So everything with a Jaccard similarity of THRESHOLD is found, and a short text that
+merely occurs in a long one doesn't join their classes. Classes are the connected components of that relation.
+``containers``: for a set of queries, every document that contains THRESHOLD or more of a query's shingles, however long it is;
+``with_containers`` asks it for the classes of a part of the documents, against all classes.
 
 1. ``sketch``: one pass makes each set (32-bit hashes of shingles), a 128-bit hash of it, and its band keys. Sets are
    partitioned by size at powers of 1 / THRESHOLD, so that near duplicates lie in one partition or in neighbours; for each
@@ -12,16 +14,23 @@ that merely occurs in a long one isn't. Classes are the connected components of
 2. Equal sets are one vertex from here on.
 3. In every bucket that holds several sets the one with the smallest hash is the pivot. Each set is first checked,
    exactly, against the pivot that it meets most often; then classes are joined; then the other pivots of another class are
-   checked; and last, for buckets that still hold several classes, the pairs across classes. So a group of copies costs
-   a few checks a member, however large it is, and no pair that shares a bucket is left unsettled.
-4. Components are found by label propagation with shortcuts, on tables of links.
+   checked. So a group of copies costs a few checks a member, however large it is. A pivot that many sets meet is sent to
+   several tasks, its members being dealt to them.
+4. The sets of buckets that hold several classes yet are compared by their rarest shingles: near duplicates share one of
+   the n - ceil(THRESHOLD * n) + 1 rarest ones of either (rare among these sets), whatever common passages they hold besides.
+   This finds all pairs across classes, with no pairs formed within a bucket, and none where a shingle's sets are one class.
+5. Components are found by label propagation with shortcuts, on tables of links.
+
+``containers`` goes by rarest shingles as well (step 4, with the queries' own shingles counted over all documents): across
+partitions far apart the Jaccard threshold is so low that any banding would put all pairs that share a passage in one bucket.
 
 MinHash finds a pair at the threshold's least Jaccard similarity with a probability of RECALL or more, and one of Jaccard 0.8
 practically always. All decisions are exact containments, up to collisions of 32-bit shingle hashes within a pair.
 
-Cases: null and white-space-only texts have no shingle and are each a class of their own; null doc_ids are ids; rows with the
-same doc_id are told apart by text, equal rows are one document; ties go to the smaller hash; other columns are ignored by
-``classes`` and stay in ``dedup``; an empty table gives no rows.
+Cases: null and white-space-only texts have no shingle and are each a class of their own, contained in nothing; null doc_ids
+are ids; rows with the same doc_id are told apart by a hash of their text, equal rows are one document; very long texts are
+read whole, each in one task; ties go to the smaller hash; other columns are ignored by ``classes`` and stay in ``dedup``
+(``__doc``, ``__th``, ``__some`` and ``__k`` are its own); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +52,9 @@ from loomgraph.llm.common import groups, local_path, mix, ngram_hashes, order_id
 SHINGLE = 5
 THRESHOLD = 0.8
 HASHES = 128
-RECALL = 0.95
+RECALL = 0.99
+#: Sets that may share one copy of a pivot's set.
+MEMBERS = 2000
 ROUNDS = 60
 _A = (mix(np.arange(11, 11 + HASHES, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(5011, 5011 + HASHES, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -78,7 +89,7 @@ def banding(partition: int, threshold: float = THRESHOLD, recall: float = RECALL
     for r in range(12, 1, -1):
         b = HASHES // r
         if 1 - (1 - s**r) ** b >= recall:
-            while b > 1 and 1 - (1 - s**r) ** (b - 1) >= max(recall, 0.97):
+            while b > 1 and 1 - (1 - s**r) ** (b - 1) >= recall:
                 b -= 1
             return r, b
     return 1, HASHES
@@ -139,49 +150,65 @@ def sketch(docs: DataFrame) -> DataFrame:
 BITS = 26
 
 
-def _bit(sid: Column) -> Column:
-    return F.pmod(F.conv(F.hex(F.substring(sid, 1, 8)), 16, -10).cast("long"), F.lit(1 << BITS))
+def _bit(h: Column) -> Column:
+    return F.pmod(h, F.lit(1 << BITS))
+
+
+def _head(sid: Column) -> Column:
+    """The first 64 bits of a set's hash."""
+    return F.conv(F.hex(F.substring(sid, 1, 8)), 16, -10).cast("long")
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _bits_of(path: str) -> np.ndarray:
     with open(path, "rb") as f:
         return np.frombuffer(f.read(), np.uint8)
 
 
-def _only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``sets`` (sid, n, shingles) whose sid is in ``wanted``; most others are left out before they are shuffled.
+def _in_bits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = at & ((1 << BITS) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
 
-    For that, a file of 2**BITS bits in the shared folder says which sids may be wanted. Its size is fixed; with more
-    sids than it can tell apart more rows travel to the exact join.
+def _bit_file(hashes: DataFrame) -> str | None:
+    """Path of a file of 2**BITS bits in the shared folder that says which values of ``hashes`` (h) there may be; None if there is none.
+
+    Its size is fixed; with more values than it can tell apart, more rows travel to the exact join that follows.
     """
-    folder = local_path(scratch(sets.sparkSession, "bits"))
-    words = wanted.select(_bit(F.col("sid")).alias("b")).groupBy(F.floor(F.col("b") / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("x"))
+    folder = local_path(scratch(hashes.sparkSession, "bits"))
+    words = hashes.select(_bit(F.col("h")).alias("b")).groupBy(F.floor(F.col("b") / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("x"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((1 << BITS) // 64, np.uint64)
+        out, any_ = np.zeros((1 << BITS) // 64, np.uint64), False
         for b in batches:
             out[b.column("w").to_numpy()] |= b.column("x").to_numpy().view(np.uint64)
+            any_ |= b.num_rows > 0
+        if not any_:
+            return
         os.makedirs(folder, exist_ok=True)
         with open(own := f"{folder}/{uuid.uuid4().hex}", "wb") as f:
             f.write(out.tobytes())
         os.replace(own, f"{folder}/bits")
         yield pa.RecordBatch.from_arrays([pa.array([1])], names=["done"])
 
-    words.repartition(1).mapInArrow(write, "done long").collect()  # one row
-    path = f"{folder}/bits"
+    return f"{folder}/bits" if words.repartition(1).mapInArrow(write, "done long").collect() else None  # one row
+
+
+def _only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``sets`` (sid, n, shingles) whose sid is in ``wanted``; most others are left out before they are shuffled."""
+    path = _bit_file(wanted.select(_head(F.col("sid")).alias("h")))
+    if path is None:
+        return sets.limit(0)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _bits_of(path)
         for b in batches:
-            at = b.column("b").to_numpy()
-            yield b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            yield b.filter(pa.array(_in_bits(bits, b.column("h").to_numpy())))
 
-    some = sets.withColumn("b", _bit(F.col("sid"))).mapInArrow(pick, "sid binary, n int, shingles binary, b long").drop("b") if os.path.exists(path) else sets.limit(0)
-    return some.join(wanted, "sid", "left_semi")
+    return sets.withColumn("h", _head(F.col("sid"))).mapInArrow(pick, "sid binary, n int, shingles binary, h long").drop("h").join(wanted, "sid", "left_semi")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, threshold: float, members: int | None = None) -> DataFrame:
     """Those of ``pairs`` (a, b) that are near duplicates, by their whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +224,34 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     near = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
     one = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").where(near).select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    # A set that many others meet goes to one task for every MEMBERS of them.
+    fan = saved(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / (members or MEMBERS)).cast("int").alias("fan")).where("fan > 1"), "fans")
+    dealt = pairs.select("a", "b").join(fan, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("fan", F.lit(1))).cast("int").alias("salt"))
+    copies = two.join(fan, "b", "left").select("b", "nb", "sb", F.explode(F.sequence(F.lit(0), F.coalesce("fan", F.lit(1)) - 1)).alias("salt"))
+    return dealt.join(one, "a").join(copies, ["b", "salt"]).where(near).select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+
+
+def _rare(sets: DataFrame, threshold: float) -> DataFrame:
+    """sid, g: the rarest shingles of each of ``sets`` (sid, n, shingles), as many as any near duplicate must share one of."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x, np.int32) for x in batch.column("shingles").to_pylist()]
+            at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            for k in range(0, len(at), 1 << 16):
+                part = at[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([batch.column("sid").take(pa.array(part)), batch.column("n").take(pa.array(part)), pa.array(np.concatenate(own)[k : k + (1 << 16)])], names=["sid", "n", "g"])
+
+    each = saved(sets.select("sid", "n", "shingles").mapInArrow(spread, "sid binary, n int, g int"), "spread")
+    count = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    return _first_rare(each.join(count, "g").select("sid", "n", "df", "g"), threshold)
+
+
+def _first_rare(each: DataFrame, threshold: float) -> DataFrame:
+    """sid, df, g of (sid, n, df, g): of each set the first n - ceil(threshold * n) + 1 by (df, g). A set is what one task holds."""
+    many = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    per = each.groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("own"))
+    return per.select("sid", F.inline(F.slice("own", F.lit(1), many)))
 
 
 def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -242,7 +296,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = saved(held.where("sid <> pivot").groupBy(F.col("sid").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("times")), "met")
     wanted = met.select(F.col("a").alias("sid")).unionByName(met.select(F.col("b").alias("sid"))).distinct()
     sets = saved(_only(all_.where("sid is not null").select("sid", "n", "shingles"), wanted).groupBy("sid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "shingles")
-    most = met.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+    most = saved(met.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b")), "pairs")
     links = saved(_links(most, sets, threshold), "links")
     label = components(links)
     second = saved(_across(met.select("a", "b").join(most, ["a", "b"], "left_anti"), label), "pairs")
@@ -251,15 +305,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if _some(more):
         links = links.unionByName(more)
         label = components(links)
-    # Buckets that hold several classes yet: the pairs across them, each once.
+    # Buckets that hold several classes yet: pairs across them, by their rarest shingles.
     own = held.join(label.select(F.col("v").alias("sid"), "label"), "sid", "left").select("bucket", "sid", F.coalesce("label", "sid").alias("label"))
     mixed = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y and k > 2").select("bucket")
-    left = saved(own.join(mixed, "bucket", "left_semi"), "mixed")
+    left = saved(own.join(mixed, "bucket", "left_semi").select("sid", "label").distinct(), "mixed")
     if _some(left):
-        a, b = left.select("bucket", F.col("sid").alias("a"), F.col("label").alias("la")), left.select("bucket", F.col("sid").alias("b"), F.col("label").alias("lb"))
-        cross = a.join(b, "bucket").where("la <> lb and a > b").select("a", "b").distinct()
+        rare = saved(_rare(sets.join(left, "sid", "left_semi"), threshold).join(left, "sid").select("g", "sid", "label"), "rare")
+        several = rare.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
+        rare = saved(rare.join(several, "g", "left_semi"), "rare")
+        cross = rare.join(rare.select("g", F.col("sid").alias("b"), F.col("label").alias("lb")), "g").where("label <> lb and sid > b").select(F.col("sid").alias("a"), "b").distinct()
         done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        more = saved(_links(cross.join(done, ["a", "b"], "left_anti"), sets, threshold), "links")
+        more = saved(_links(saved(cross.join(done, ["a", "b"], "left_anti"), "pairs"), sets, threshold), "links")
         if _some(more):
             label = components(links.unionByName(more))
     member = all_.select("doc", "th", "sid", "n").distinct().join(label.select(F.col("v").alias("sid"), "label"), "sid", "left")
@@ -279,3 +335,92 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if _some(many):
         kept = kept.withColumn("__k", equal).where("__k = 1 or not __some")
     return kept.select(*docs.columns)
+
+
+# Containment in documents of any size ----------------------------------------------------------------------------------------
+
+
+def _grams(docs: DataFrame, path: str | None, counts: bool = False, rows: str | None = None) -> DataFrame:
+    """Of the distinct shingles of each text those that the bit file admits (all without one): h and n (how often in a batch),
+    or doc, th, size of the set, h. ``rows`` is a bit file of the text hashes to look at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, some = path and _bits_of(path), rows and _bits_of(rows)
+        for batch in batches:
+            if some is not None:
+                batch = batch.filter(pa.array(_in_bits(some, batch.column("th").to_numpy())))
+            texts = batch.column("text").to_pylist()
+            for a, b in groups(texts):
+                h, n = word_hashes(texts[a:b])
+                own = [np.unique(ngram_hashes(w, SHINGLE)) for w in np.split(h, np.cumsum(n)[:-1])]
+                size = np.array([len(x) for x in own])
+                every, at = np.concatenate(own).view(np.int64), np.repeat(np.arange(a, b), size)
+                if bits is not None:
+                    keep = _in_bits(bits, every)
+                    every, at = every[keep], at[keep]
+                if counts:
+                    every, many = np.unique(every, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(many)], names=["h", "n"])
+                else:
+                    take = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), batch.column("th").take(take), pa.array(size[at - a].astype(np.int32)), pa.array(every)], names=["doc", "th", "size", "h"])
+
+    keyed = docs.select(order_id().alias("doc"), text_hash().alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return keyed.mapInArrow(run, "h long, n long" if counts else "doc long, th long, size int, h long")
+
+
+CONTAINED = "q long, qth long, n int, doc long, th long, size int, shared long"
+
+
+def containers(docs: DataFrame, queries: DataFrame, among: DataFrame | None = None, threshold: float = THRESHOLD, members: int = MEMBERS) -> DataFrame:
+    """CONTAINED: for each document of ``queries`` (doc, th) every other one (of ``among``, if given) with as many shingles or
+    more that holds at least ``threshold`` of its own. Exact, up to collisions of 64-bit hashes.
+
+    Only hashes that a bit file of the queries' admits leave the pass over the documents. A query of which all shingles are
+    common is met by as many documents as hold its least common ones; the rows of such a shingle are dealt to several tasks.
+    """
+    none = docs.sparkSession.createDataFrame([], CONTAINED)
+    asking = _bit_file(queries.select(F.col("th").alias("h")))
+    if asking is None:
+        return none
+    asked = saved(_grams(docs, None, rows=asking).join(queries.distinct(), ["doc", "th"], "left_semi").distinct().select(F.col("doc").alias("q"), F.col("th").alias("qth"), F.col("size").alias("n"), "h"), "asked")
+    path = _bit_file(asked.select("h").distinct())
+    if path is None:
+        return none
+    df = _grams(docs, path, counts=True).groupBy("h").agg(F.sum("n").alias("df")).where("df > 1").join(asked.select("h").distinct(), "h", "left_semi")
+    # Shingles that one row alone holds are no link; but they count among the rarest.
+    each = asked.join(df, "h", "left").select(F.struct("q", "qth").alias("sid"), "n", F.coalesce("df", F.lit(1)).alias("df"), F.col("h").alias("g"))
+    probes = saved(_first_rare(each, threshold).where("df > 1").select("sid.q", "sid.qth", F.col("g").alias("h"), F.ceil(F.col("df") / members).cast("int").alias("fan")), "probes")
+    path = _bit_file(probes.select("h").distinct())
+    if path is None:
+        return none
+    hot = saved(probes.where("fan > 1").select("h", "fan").distinct(), "hot")
+    held = _grams(docs, path).join(hot, "h", "left").select("doc", "th", "size", "h", F.pmod(F.xxhash64("doc", "th"), F.coalesce("fan", F.lit(1))).cast("int").alias("salt"))
+    if among is not None:
+        held = held.join(among.select("doc", "th").distinct(), ["doc", "th"], "left_semi")
+    sent = probes.join(asked.select("q", "qth", "n").distinct(), ["q", "qth"]).select("q", "qth", "n", "h", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
+    pairs = saved(held.join(sent, ["h", "salt"]).where("size >= n and (doc <> q or th <> qth)").select("q", "qth", "n", "doc", "th", "size").distinct(), "pairs")
+    # What the pairs' documents hold of all that those queries ask, counted exactly.
+    ours = asked.join(pairs.select("q", "qth").distinct(), ["q", "qth"], "left_semi")
+    path, rows = _bit_file(ours.select("h").distinct()), _bit_file(pairs.select(F.col("th").alias("h")).distinct())
+    if path is None:
+        return none
+    theirs = _grams(docs, path, rows=rows).join(pairs.select("doc", "th").distinct(), ["doc", "th"], "left_semi").groupBy("doc", "th").agg(F.collect_set("h").alias("own"))
+    both = pairs.join(ours.groupBy("q", "qth").agg(F.collect_list("h").alias("want")), ["q", "qth"]).join(theirs, ["doc", "th"])
+    found = both.select("q", "qth", "n", "doc", "th", "size", F.size(F.array_intersect("want", "own")).cast("long").alias("shared"))
+    return found.where(F.col("shared") >= F.col("n") * threshold - 1e-9)
+
+
+EVERY = 20
+
+
+def with_containers(docs: DataFrame, found: DataFrame, every: int = EVERY) -> DataFrame:
+    """``found`` (of ``classes``) with n_containers and container_doc: how many other classes' first documents contain that of
+    its class, and the shortest of these (then the first). For the classes of documents whose id ``every`` divides; null for others.
+    """
+    first = saved(found.where("doc = class_doc and th = class_th").select("doc", "th").distinct(), "first")
+    queries = saved(found.where(F.col("doc") % every == 0).select(F.col("class_doc").alias("doc"), F.col("class_th").alias("th")).distinct(), "queries")
+    pairs = containers(docs, queries, first)
+    per = pairs.groupBy(F.col("q").alias("doc"), F.col("qth").alias("th")).agg(F.count(F.lit(1)).alias("n_containers"), F.min_by("doc", F.struct("size", "doc", "th")).alias("container_doc"))
+    answer = queries.join(per, ["doc", "th"], "left").select(F.col("doc").alias("class_doc"), F.col("th").alias("class_th"), F.coalesce("n_containers", F.lit(0)).alias("n_containers"), "container_doc")
+    return found.join(answer, ["class_doc", "class_th"], "left").select(*found.columns, "n_containers", "container_doc")

@@ -67,8 +67,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shipped
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(shown_id("doc").alias("doc_id"), shown_id("class_doc").alias("class_id"), "n_shingles")
+    """Classes of all documents; containers in other classes for those of documents whose id 20 divides."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = near_dup.with_containers(docs, saved(near_dup.classes(docs), "classes"))
+    return found.select(shown_id("doc").alias("doc_id"), shown_id("class_doc").alias("class_id"), "n_shingles", "n_containers", shown_id("container_doc").alias("container_id"))
 
 
 @shipped

@@ -74,6 +74,61 @@ def test_against_brute_force(spark, seed):
     assert F
 
 
+def brute_containers(rows, queries):
+    docs = sorted({(NULL_ID if d is None else d, t or "") for d, t in rows})
+    sets = {k: shingles(k[1]) for k in docs}
+    return {(q, x) for q in docs if q[0] in queries and sets[q] for x in docs if x != q and len(sets[x]) >= len(sets[q]) and len(sets[q] & sets[x]) >= 0.8 * len(sets[q])}
+
+
+@pytest.mark.parametrize(("seed", "members"), [(3, N.MEMBERS), (4, 2)])
+def test_containers_against_brute_force(spark, seed, members):
+    r = random.Random(seed)
+    rows = corpus(seed)
+    long = " ".join(f"v{i}" for i in range(3000))
+    rows += [(5000, long), (5001, " ".join(long.split()[100:160])), (5002, " ".join(long.split()[200:210] + ["x"] + long.split()[210:290])), (5003, "a shared licence line of eight words here")]
+    rows += [(6000 + i, f"t{i} " * 9 + "a shared licence line of eight words here " + " ".join(f"s{i}x{r.random()}" for _ in range(40))) for i in range(30)]
+    df = spark.createDataFrame([(d, t, "e", 1) for d, t in rows], SCHEMA)
+    from pyspark.sql import functions as F
+
+    from loomgraph.llm.common import order_id, text_hash
+
+    keyed = df.select(order_id().alias("doc"), text_hash().alias("th"), F.coalesce("text", F.lit("")).alias("t"))
+    text = {r.th: r.t for r in keyed.collect()}
+    ids = {r.doc for r in keyed.collect() if r.doc % 3 == 1 or r.doc in (5001, 5002, 5003)}
+    queries = keyed.where(F.col("doc").isin(*ids)).select("doc", "th")
+    got = N.containers(df, queries, members=members).collect()
+    want = brute_containers(rows, ids)
+    assert {((g.q, text[g.qth]), (g.doc, text[g.th])) for g in got} == want and len(got) == len(want)
+    assert {(5001, 5000), (5002, 5000), (5003, 6007)} <= {(g.q, g.doc) for g in got}
+    some = N.containers(df, queries, keyed.where("doc < 6010").select("doc", "th"), members=members)
+    assert {(g.q, g.doc) for g in some.collect()} == {(q[0], x[0]) for q, x in want if x[0] < 6010}
+    assert N.containers(df, queries.limit(0)).count() == 0
+
+
+def test_containers_of_classes(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-1])), (20, " ".join(base[60:120])), (21, " ".join(base[60:121])), (40, None), (60, "nothing like it at all in here")]
+    df = spark.createDataFrame([(d, t, "e", 1) for d, t in rows], SCHEMA)
+    got = {g.doc: (g.class_doc, g.n_containers, g.container_doc) for g in N.with_containers(df, N.classes(df)).collect()}
+    assert got == {1: (1, None, None), 2: (1, None, None), 20: (20, 1, 1), 21: (20, 1, 1), 40: (40, 0, None), 60: (60, 0, None)}
+
+
+def test_mixed_buckets_and_hot_pivots(spark, monkeypatch):
+    """Documents that share half of their text meet in buckets without being near; a pivot with many members is dealt out."""
+    monkeypatch.setattr(N, "MEMBERS", 3)
+    r = random.Random(9)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for g in range(40):
+        w = common + [f"g{g}x{i}" for i in range(40)]
+        for _ in range(r.randint(1, 4)):
+            v = list(w)
+            v[r.randrange(60, 100)] = f"r{r.random()}"
+            rows.append((len(rows), " ".join(v)))
+    got = {g.doc: g.class_doc for g in N.classes(spark.createDataFrame([(d, t, "e", 1) for d, t in rows], SCHEMA)).collect()}
+    assert got == {k[0]: v[0] for k, v in brute(rows).items()}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert N.classes(df).count() == 0 and N.dedup(df).count() == 0
