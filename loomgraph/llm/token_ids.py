@@ -2,16 +2,18 @@
 
 ``write_corpus`` range-partitions documents by ``doc_id``, encodes each partition as a stream and writes one shard per
 partition; ``build_index`` partitions the keys by hash and writes one minimal perfect hash per index part, whose slots
-hold a fingerprint and the place of the key's documents; ``lookup`` goes key -> index part -> slot -> fingerprint -> bytes
-in constant time; ``read_corpus`` reads every shard back.
+hold a fingerprint and the place of the key's documents; ``Index.get`` goes key -> index part -> slot -> fingerprint -> bytes
+in constant time. ``read_keys`` does the same for a table of keys: each part of them meets its index part, and the places found
+are read from the shards in order. ``read_corpus`` reads every shard back without an index.
 
 Shard file ``shard-NNNNN.ids`` (little endian): magic ``LGID0001``, bytes per id (u32), documents (u64), ids (u64), the raw
 ids of all documents one after another, then doc_ids (i64), a null flag a document (u8), and ids per document (u64).
 A shard is written under a temporary name and renamed, so a repeated task replaces it by the same bytes.
 
 Cases: null text counts as empty (its end id only); null doc_ids come first, and are one key; rows that share a doc_id
-are kept one after another, ordered by text, and are found together under their key; other columns are ignored; an empty
-table gives no shard that holds documents, and an index without keys.
+(repeated rows too) are kept one after another, ordered by text, in as many shards as the beginnings of their texts tell
+apart, and are found together under their key; very long texts are encoded whole, each within one task; other columns are
+ignored, whatever their names; an empty table gives no shard that holds documents, and an index without keys.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import NULL_ID, groups, local_path, mix, order_id, partitions, scratch
+from loomgraph.llm.common import groups, local_path, mix, partitions, scratch
 
 END_ID = 1
 MAGIC = b"LGID0001"
@@ -51,7 +53,7 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class Encoder:
     """Encodes texts with a tokenizers file; for one whose words are encoded apart, each word is encoded once and remembered.
 
-    Words are known by a 64-bit hash. White space parts words; a chunk between white space is split further only if it has
+    Words are found by a 64-bit hash and told apart by their bytes. White space parts words; a chunk between white space is split further only if it has
     nothing but ASCII and letters of Latin-1, and neither an apostrophe nor the beginning of a special token; other chunks
     are encoded whole. The memory is bounded: it is emptied when half full.
     """
@@ -78,6 +80,9 @@ class Encoder:
         self.n = 0
         self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.pool, self.used = np.zeros(1 << 18, self.dtype), 0
+        #: The entries' words: odd ones as they are, others lower-cased.
+        self.word_at, self.word_len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.letters, self.lettered = np.zeros(1 << 18, np.uint8), 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1."""
@@ -94,29 +99,74 @@ class Encoder:
             rest = rest[~hit & (key != 0)]
         return out
 
-    def _add(self, h: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
-        k = len(h)
+    def _append(self, ids: np.ndarray, lens: np.ndarray, letters: np.ndarray, letter_lens: np.ndarray) -> int:
+        """Adds entries, which nothing leads to yet; the place of the first."""
+        k = len(lens)
         while self.n + k > len(self.starts):
-            self.starts, self.lens = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lens, 2 * len(self.lens))
+            for name in ("starts", "lens", "word_at", "word_len"):
+                setattr(self, name, np.resize(getattr(self, name), 2 * len(getattr(self, name))))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
-        first = np.zeros(k, np.int64)
-        np.cumsum(lens[:-1], out=first[1:])
-        self.starts[self.n : self.n + k], self.lens[self.n : self.n + k] = first + self.used, lens
+        while self.lettered + len(letters) > len(self.letters):
+            self.letters = np.resize(self.letters, 2 * len(self.letters))
+        at = self.n
+        self.starts[at : at + k], self.lens[at : at + k] = np.cumsum(lens) - lens + self.used, lens
+        self.word_at[at : at + k], self.word_len[at : at + k] = np.cumsum(letter_lens) - letter_lens + self.lettered, letter_lens
         self.pool[self.used : self.used + len(ids)] = ids
+        self.letters[self.lettered : self.lettered + len(letters)] = letters
+        self.n += k
+        self.used += len(ids)
+        self.lettered += len(letters)
+        return at
+
+    def _enter(self, h: np.ndarray, first: int) -> None:
+        """Makes the entries from ``first`` on findable by distinct hashes that aren't known yet."""
         mask = np.uint64((1 << self.bits) - 1)
-        slot, left = h & mask, np.arange(k)
+        slot, left = h & mask, np.arange(len(h))
         while len(left):
             free = left[self.keys[slot[left]] == 0]
             _, one = np.unique(slot[free], return_index=True)
             put = free[one]
-            self.keys[slot[put]], self.at[slot[put]] = h[put], self.n + put
-            done = np.zeros(k, bool)
+            self.keys[slot[put]], self.at[slot[put]] = h[put], first + put
+            done = np.zeros(len(h), bool)
             done[put] = True
             left = left[~done[left]]
             slot[left] = np.where(self.keys[slot[left]] != 0, (slot[left] + np.uint64(1)) & mask, slot[left])
-        self.n += k
-        self.used += len(ids)
+
+    def _other(self, at: np.ndarray, body: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Places of words whose entry is that of another word with the same hash."""
+        differ = self.word_len[at] != length
+        same = np.flatnonzero(~differ)
+        n = length[same]
+        ends = np.cumsum(n)
+        if len(same):
+            step = np.arange(ends[-1]) - np.repeat(ends - n, n)
+            unlike = body[step + np.repeat(first[same], n)] != self.letters[step + np.repeat(self.word_at[at[same]], n)]
+            differ[same] = np.logical_or.reduceat(unlike, ends - n)
+        return np.flatnonzero(differ)
+
+    def _encode(self, new: np.ndarray, raw: bytes, starts: np.ndarray, length: np.ndarray, odd: np.ndarray, body: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, int]:
+        """Adds entries for the words at ``new``; these in the entries' order, and the place of the first entry."""
+        plain, whole = new[~odd[new]], new[odd[new]]
+        got, lens = [], []
+        for group, together in ((plain, True), (whole, False)):
+            pieces = [raw[a : a + n].decode() for a, n in zip(starts[group].tolist(), length[group].tolist(), strict=True)]
+            if not pieces:
+                continue
+            if together:
+                ids = np.array(self.t.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+                n = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+                if len(n) != len(pieces):
+                    raise ValueError("a word wasn't encoded apart from its neighbours")
+            else:
+                own = [e.ids for e in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
+                ids, n = np.array([i for x in own for i in x], self.dtype), np.array([len(x) for x in own], np.int64)
+            got.append(ids)
+            lens.append(n)
+        order = np.concatenate([plain, whole])
+        n = length[order]
+        letters = body[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[order], n)]
+        return order, self._append(np.concatenate(got), np.concatenate(lens), letters, n)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of each text."""
@@ -156,6 +206,7 @@ class Encoder:
             pos = (np.arange(len(word)) - np.repeat(first, length)).astype(np.uint64)
             h = mix(np.add.reduceat(mix(_BYTE[body] + pos * np.uint64(0x9E3779B97F4A7C15)), first) + odd_word.astype(np.uint64) * np.uint64(77)) | np.uint64(1)
         at = self._find(h)
+        raw = b""
         if len(miss := np.flatnonzero(at < 0)):
             _, one = np.unique(h[miss], return_index=True)
             new = miss[one]
@@ -165,20 +216,13 @@ class Encoder:
             if self.n + len(new) > (1 << self.bits) // 2:
                 return self._halves(texts)
             raw = buf.tobytes()
-            for group, together in ((new[~odd_word[new]], True), (new[odd_word[new]], False)):
-                pieces = [raw[a : a + n].decode() for a, n in zip(starts[group].tolist(), length[group].tolist(), strict=True)]
-                if not pieces:
-                    continue
-                if together:
-                    ids = np.array(self.t.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
-                    lens = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
-                    if len(lens) != len(pieces):
-                        raise ValueError("a word wasn't encoded apart from its neighbours")
-                else:
-                    own = [e.ids for e in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
-                    ids, lens = np.array([i for x in own for i in x], self.dtype), np.array([len(x) for x in own], np.int64)
-                self._add(h[group], ids, lens)
+            order, entry = self._encode(new, raw, starts, length, odd_word, body, first)
+            self._enter(h[order], entry)
             at = self._find(h)
+        if len(other := self._other(at, body, first, length)):
+            # Another word has that hash: these are encoded each time they come.
+            order, entry = self._encode(other, raw or buf.tobytes(), starts, length, odd_word, body, first)
+            at[order] = entry + np.arange(len(order))
         n = self.lens[at].astype(np.int64)
         to = np.cumsum(n)
         ids = self.pool[np.arange(to[-1]) + np.repeat(self.starts[at] - (to - n), n)]
@@ -211,10 +255,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _ranges(docs: DataFrame, n: int) -> list[int]:
-    """Upper bounds of doc_id ranges of about as many documents; reads that column only."""
-    q = docs.select(order_id().alias("k")).where(F.col("k") != NULL_ID).agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
-    return sorted(set(q or []))
+#: Characters of a text by which rows with one doc_id may be dealt to several shards.
+BEGINNING = 64
 
 
 def write_corpus(docs: DataFrame, path: str, tokenizer: str, shards: int | None = None, end_id: int = END_ID) -> DataFrame:
@@ -222,15 +264,11 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, shards: int | None
     spark = docs.sparkSession
     folder = local_path(path)
     os.makedirs(folder, exist_ok=True)
-    bounds = _ranges(docs, shards or partitions(spark))
-    key = order_id()
-    part = F.lit(0)
-    if bounds:
-        part = F.array_size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < key)) if len(bounds) < 64 else F.udf(lambda k: int(np.searchsorted(bounds, k)), "int")(key)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     ready = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), part.cast("int").alias("part"))
-        .repartitionById(len(bounds) + 1, F.col("part"))
-        .sortWithinPartitions("part", "doc_id", "text")
+        rows.repartitionByRange(shards or partitions(spark), F.col("doc_id").asc_nulls_first(), F.substring("text", 1, BEGINNING))
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        .select("doc_id", "text", F.spark_partition_id().alias("part"))
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,6 +328,9 @@ class Shard:
         self.null = np.frombuffer(tail, np.uint8, self.n_docs, 8 * self.n_docs).astype(bool)
         self.lens = np.frombuffer(tail, "<u8", self.n_docs, 9 * self.n_docs).astype(np.int64)
 
+    def key(self, doc: int) -> int | None:
+        return None if self.null[doc] else int(self.doc_ids[doc])
+
     def ids(self, first: int, n: int) -> np.ndarray:
         self.file.seek(self.base + first * self.width)
         return np.frombuffer(self.file.read(n * self.width), f"<u{self.width}")
@@ -352,7 +393,8 @@ class MinimalPerfectHash:
         self.levels = levels
         self.ranks, total = [], 0
         for bits in levels:
-            ones = np.append(0, np.cumsum(np.unpackbits(bits).reshape(-1, self.BLOCK).sum(1))) + total
+            # Ones before each byte of the level, and in all levels before it.
+            ones = np.append(0, np.cumsum(np.bitwise_count(bits), dtype=np.int64)) + total
             self.ranks.append(ones)
             total = int(ones[-1])
         self.n = total
@@ -383,11 +425,10 @@ class MinimalPerfectHash:
             if not len(left):
                 break
             at = self._at(h[left], k, len(bits) * 8)
-            hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            for i, a in zip(left[hit].tolist(), at[hit].tolist(), strict=True):
-                block = a // self.BLOCK
-                own = np.unpackbits(bits[block * self.BLOCK // 8 : (block + 1) * self.BLOCK // 8])
-                out[i] = self.ranks[k][block] + int(own[: a % self.BLOCK].sum())
+            byte = bits[at >> 3]
+            hit = (byte >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            before = np.bitwise_count((byte.astype(np.uint16) >> (8 - (at & 7)).astype(np.uint16)).astype(np.uint8))
+            out[left[hit]] = self.ranks[k][at[hit] >> 3] + before[hit]
             left = left[~hit]
         return out
 
@@ -449,6 +490,15 @@ def build_index(shards: DataFrame, path: str, parts: int | None = None) -> DataF
     return spark.createDataFrame([tuple(r) for r in done], "part int, path string, n_keys long")
 
 
+def read_part(folder: str, k: int) -> tuple[MinimalPerfectHash, np.ndarray] | None:
+    """An index part's hash and slots; None for one without keys."""
+    if not os.path.exists(at := f"{folder}/part-{k:05d}.mph"):
+        return None
+    with open(at, "rb") as f:
+        mph = MinimalPerfectHash.load(f)
+        return mph, np.frombuffer(f.read(), ENTRY)
+
+
 class Index:
     """Keyed access: ``Index(path).get(doc_id)`` gives the id arrays of the documents of that key ([] if there is none)."""
 
@@ -458,12 +508,8 @@ class Index:
         self.parts, self.paths = meta["parts"], meta["shards"]
         self.part, self.shard = lru_cache(64)(self._part), lru_cache(64)(lambda k: Shard(self.paths[str(k)]))
 
-    def _part(self, k: int):
-        if not os.path.exists(at := f"{self.folder}/part-{k:05d}.mph"):
-            return None
-        with open(at, "rb") as f:
-            mph = MinimalPerfectHash.load(f)
-            return mph, np.frombuffer(f.read(), ENTRY)
+    def _part(self, k: int) -> tuple[MinimalPerfectHash, np.ndarray] | None:
+        return read_part(self.folder, k)
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         h = key_hash(np.array([doc_id or 0]), np.array([doc_id is None]))
@@ -474,13 +520,78 @@ class Index:
             return []
         e = part[1][at]
         s, doc = self.shard(int(e["shard"])), int(e["doc"])
+        if s.key(doc) != doc_id:
+            return []
         lens = s.lens[doc : doc + int(e["n_docs"])]
         return np.split(s.ids(int(e["offset"]), int(e["n_ids"])), np.cumsum(lens)[:-1])
 
 
-def token_ids(spark: SparkSession, docs: DataFrame, tokenizer: str) -> tuple[DataFrame, str]:
-    """Shards and index below a new folder; the rows of ``read_corpus``, and the folder of the index."""
+PLACES = "doc_id long, shard int, doc long, n_docs long, offset long, n_ids long"
+
+
+def lookup(keys: DataFrame, index: str) -> DataFrame:
+    """PLACES of the keys (doc_id, each once) that the index below ``index`` holds: their first document in a shard, how many there are, and their ids."""
+    folder = local_path(index)
+    with open(f"{folder}/index.json") as f:
+        parts = json.load(f)["parts"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("doc_id")
+            h = key_hash(np.asarray(key.fill_null(0)), np.asarray(key.is_null()))
+            yield pa.RecordBatch.from_arrays([key, pa.array(h.view(np.int64)), pa.array((h % np.uint64(parts)).astype(np.int32))], names=["doc_id", "h", "part"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, own = -1, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if part != (now := batch.column("part")[0].as_py()):
+                part, own = now, read_part(folder, now)
+            if own is None:
+                continue
+            mph, slots = own
+            h = batch.column("h").to_numpy().view(np.uint64)
+            at = mph(h)
+            hit = at >= 0
+            hit[hit] = slots["print"][at[hit]] == (mix(h[hit]) >> np.uint64(32)).astype(np.uint32)
+            e = slots[at[hit]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(hit)), pa.array(e["shard"].astype(np.int32)), *(pa.array(e[c].astype(np.int64)) for c in ("doc", "n_docs", "offset", "n_ids"))], names=["doc_id", "shard", "doc", "n_docs", "offset", "n_ids"])
+
+    return keys.select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(deal, "doc_id long, h long, part int").repartitionById(parts, F.col("part")).mapInArrow(find, PLACES)
+
+
+def read_keys(keys: DataFrame, shards: DataFrame, index: str) -> DataFrame:
+    """The rows of ``read_corpus`` for the documents of these keys, each found through the index: its places are read in their order in a shard."""
+    rows = sorted(shards.collect())  # one row a shard
+    base = np.cumsum([0, *(r.n_ids for r in rows)])[:-1].tolist()
+    at = {r.shard: (r.path, b) for r, b in zip(rows, base, strict=True)}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, s, first = -1, None, None
+        for batch in batches:
+            out = []
+            for key, k, doc, n_docs, offset, n_ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "shard", "doc", "n_docs", "offset", "n_ids")), strict=True):
+                if k != shard:
+                    shard, s = k, Shard(at[k][0])
+                lens = s.lens[doc : doc + n_docs]
+                if s.key(doc) != key:
+                    continue  # a key that isn't there, with the fingerprint of one that is
+                if int(lens.sum()) != n_ids:
+                    raise ValueError(f"the index doesn't fit {at[k][0]}")
+                for ids in np.split(s.ids(offset, n_ids), np.cumsum(lens)[:-1]):
+                    out.append((key, at[k][1] + offset, len(ids), zlib.crc32(ids.astype("<u4")), k, offset))
+                    offset += len(ids)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*out, strict=True)), [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()], strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset"])
+
+    places = lookup(keys, index).repartitionById(max(1, len(rows)), F.pmod(F.col("shard"), F.lit(max(1, len(rows))))).sortWithinPartitions("shard", "offset")
+    return places.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, offset long")
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, shards: int | None = None) -> tuple[DataFrame, str]:
+    """Shards and index below a new folder; a row for each document, found by its key through the index, and the index's folder."""
     at = scratch(spark, "token-ids")
-    shards = write_corpus(docs, at, tokenizer)
-    build_index(shards, at + "/index")
-    return read_corpus(shards), at + "/index"
+    written = write_corpus(docs, at, tokenizer, shards)
+    build_index(written, at + "/index")
+    return read_keys(docs.select("doc_id").distinct(), written, at + "/index"), at + "/index"

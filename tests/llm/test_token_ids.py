@@ -54,3 +54,33 @@ def test_minimal_perfect():
     h = T.mix(np.arange(20_000, dtype=np.uint64))
     m = T.MinimalPerfectHash.build(h)
     assert sorted(m(h).tolist()) == list(range(20_000))
+
+
+def test_words_with_one_hash(monkeypatch):
+    """Words are told apart by their bytes: here there are but 16 hashes."""
+    t, mix = Tokenizer.from_file(PATH), T.mix
+    monkeypatch.setattr(T, "mix", lambda x: mix(x) & np.uint64(31))
+    e = T.Encoder(PATH, cache_bits=8)
+    for texts in (ODD, ["the cat sat on the mat", "The dog Sat ON a log <|x"], ODD[::-1], [" ".join(f"w{i} y{chr(97 + i % 26)}" for i in range(300))]):
+        ids, n = e([x.encode() for x in texts])
+        want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
+def test_many_shards_and_hot_key(spark):
+    rows = [(i, f"text {i} of many") for i in range(400)] + [(7, f"one of {i} rows of an id") for i in range(400)] + [(None, f"none {i}") for i in range(20)]
+    df = spark.createDataFrame([(d, x, "en", "s", 1) for d, x in rows], DOCS)
+    shards = T.write_corpus(df, at := T.scratch(spark, "ids"), PATH, 80)
+    assert shards.where("n_docs > 0").count() >= 64 and max(r.n_docs for r in shards.collect()) < 100
+    want = brute(rows)
+    read = sorted(map(tuple, T.read_corpus(shards).select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1])
+    assert read == want
+    assert [r[0] for r in want].count(7) == 401
+
+
+def test_keys_that_are_not_there(spark):
+    df = spark.createDataFrame([(d, f"text {d}", "en", "s", 1) for d in range(50)], DOCS)
+    shards = T.write_corpus(df, at := T.scratch(spark, "ids"), PATH)
+    T.build_index(shards, at + "/index")
+    keys = spark.createDataFrame([(7,), (49,), (50,), (-1,), (None,)], "doc_id long")
+    assert sorted(r.doc_id for r in T.read_keys(keys, shards, at + "/index").collect()) == [7, 49]
