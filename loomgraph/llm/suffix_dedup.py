@@ -1,6 +1,6 @@
 """Exact substring dedup: every byte within a WINDOW-byte string that also starts earlier is removed.
 
-Earlier means a smaller document (doc_id, then a hash of id and text) or an earlier start in the same one. Method: suffixes
+Earlier means a smaller document (doc_id, then a hash of its text) or an earlier start in the same one. Method: suffixes
 are sorted by a difference-cover algorithm (``suffix_order``: sampled triples are sorted and named, names that tie are
 sorted by recursion, the rest is merged in) and windows that equal their neighbour's first WINDOW bytes form groups, of
 which all but the earliest member go. The sort is distributed by content, so that no task ever sees the whole text:
@@ -20,7 +20,9 @@ its anchor's task gets it once a batch. An anchor with more than HOT runs is tak
 of hot anchors, which are known by 128-bit hashes.
 
 Cases: null text is empty; null doc_ids order first; equal rows are one document, each with the same result; rows with
-one doc_id and other texts are documents of their own, ordered by that hash; texts shorter than WINDOW lose nothing; other columns are ignored.
+one doc_id and other texts are documents of their own, ordered by that hash; texts shorter than WINDOW lose nothing; very long
+ones are read whole, in one task, and their runs go to many; other columns are ignored, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import groups, mix, order_id, partitions, saved
+from loomgraph.llm.common import groups, mix, order_id, partitions, saved, text_hash
 
 WINDOW = 100
 K = 32
@@ -163,7 +165,7 @@ def _pack(part: int, *arrays: np.ndarray) -> tuple[int, bytes]:
     return part, zstandard.ZstdCompressor(level=1).compress(b"".join(np.array([len(a)], "<u4").tobytes() + a.tobytes() for a in arrays))
 
 
-_COLUMNS = ("<u8", "<u8", "<u4", "<u4", "u1", "<u4")
+_COLUMNS = ("<i8", "<u8", "<u8", "<u4", "<u4", "u1", "<u4")
 
 
 def _unpack(rows: bytes) -> list[np.ndarray]:
@@ -180,7 +182,7 @@ def _runs(docs: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column("rk").to_numpy().view(np.uint64), batch.column("text").to_pylist()
+            keys, ids, texts = batch.column("rk").to_numpy().view(np.uint64), batch.column("doc").to_numpy(), batch.column("text").to_pylist()
             got = []
             for a, b in groups(texts, 1 << 19):
                 buf = np.frombuffer(b"".join(texts[a:b]) + bytes(8), np.uint8)[:-8]
@@ -208,13 +210,13 @@ def _runs(docs: DataFrame, parts: int) -> DataFrame:
                 own = order[cuts[p] : cuts[p + 1]]
                 if len(own):
                     which, place = np.unique(doc[own], return_inverse=True)
-                    rows.append(_pack(p, keys[which], anchor[own], place.astype("<u4"), start[own], count[own], many[own]))
+                    rows.append(_pack(p, np.diff(ids[which], prepend=0), keys[which], anchor[own], place.astype("<u4"), start[own], count[own], many[own]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "rows"])
 
     return docs.mapInArrow(run, PACKED)
 
 
-REPEATED = "rk long, anchor long, start long, n int"
+REPEATED = "doc long, rk long, anchor long, start long, n int"
 
 
 def _repeated(packed: DataFrame, parts: int, hot: int) -> DataFrame:
@@ -227,8 +229,8 @@ def _repeated(packed: DataFrame, parts: int, hot: int) -> DataFrame:
         got = [_unpack(r) for b in batches for r in b.column("rows").to_pylist()]
         if not got:
             return
-        key = np.concatenate([g[0][g[2]] for g in got])
-        anchor, start, count, many = (np.concatenate([g[i] for g in got]) for i in (1, 3, 4, 5))
+        id_, key = np.concatenate([np.cumsum(g[0])[g[3]] for g in got]), np.concatenate([g[1][g[3]] for g in got])
+        anchor, start, count, many = (np.concatenate([g[i] for g in got]) for i in (2, 4, 5, 6))
         by = many > 0
         found, back = np.unique(anchor[by], return_inverse=True)
         total = np.bincount(back, many[by], len(found))[back]
@@ -236,11 +238,11 @@ def _repeated(packed: DataFrame, parts: int, hot: int) -> DataFrame:
         keep[by] = total > 1
         if len(over := np.unique(anchor[by][total > hot])):
             none = pa.nulls(len(over), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(over.view(np.int64)), none, pa.nulls(len(over), pa.int32())], names=["rk", "anchor", "start", "n"])
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(over.view(np.int64)), none, pa.nulls(len(over), pa.int32())], names=["doc", "rk", "anchor", "start", "n"])
         own = np.flatnonzero(keep)
         for k in range(0, len(own), 100_000):
             o = own[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[o].view(np.int64)), pa.array(anchor[o].view(np.int64)), pa.array(start[o].astype(np.int64)), pa.array(count[o].astype(np.int32))], names=["rk", "anchor", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(id_[o]), pa.array(key[o].view(np.int64)), pa.array(anchor[o].view(np.int64)), pa.array(start[o].astype(np.int64)), pa.array(count[o].astype(np.int32))], names=["doc", "rk", "anchor", "start", "n"])
 
     return packed.repartitionById(parts, F.col("part")).mapInArrow(run, REPEATED)
 
@@ -257,7 +259,7 @@ def _contents(joined: DataFrame, parts: int) -> DataFrame:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             best: dict[tuple, tuple] = {}
-            known: dict[int, list[tuple[int, int]]] = {}
+            known: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
             def meet(at: tuple, row: tuple) -> None:
                 old = best.get(at)
@@ -266,7 +268,7 @@ def _contents(joined: DataFrame, parts: int) -> DataFrame:
                 elif old[:3] != row[:3]:
                     least, other = (row, old) if row[:3] < old[:3] else (old, row)
                     best[at] = least
-                    known.setdefault(other[1], []).append(other[2:4])
+                    known.setdefault(other[:2], []).append(other[2:4])
 
             for doc, rk, z, runs in zip(*(batch.column(c).to_pylist() for c in ("doc", "rk", "z", "runs")), strict=True):
                 t = unzip.decompress(z)
@@ -279,12 +281,12 @@ def _contents(joined: DataFrame, parts: int) -> DataFrame:
                     else:
                         meet((anchor, t[start : start + n + WINDOW - 1]), (doc, rk, start, n))
             rows = [(a % parts, a, c, *row) for (a, c), row in best.items()]
-            for rk, runs in known.items():
+            for (doc, rk), runs in known.items():
                 runs.sort()
                 at, upto = runs[0][0], runs[0][0]
                 for start, n in [*runs, (1 << 60, 0)]:
                     if start > upto:
-                        rows.append((rk % parts, None, None, None, rk, at, upto - at))
+                        rows.append((rk % parts, None, None, doc, rk, at, upto - at))
                         at = start
                     upto = max(upto, start + n)
             if rows:
@@ -293,10 +295,10 @@ def _contents(joined: DataFrame, parts: int) -> DataFrame:
     return joined.mapInArrow(run, CONTENTS)
 
 
-FLAGGED = "rk long, start long, n int"
+FLAGGED = "doc long, rk long, start long, n int"
 
 
-def _sort_group(rows: list[tuple]) -> list[tuple[int, int, int]]:
+def _sort_group(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
     """Duplicates among the windows of different runs, by suffix sort; rows are (doc, rk, start, n, bytes)."""
     rows = sorted(rows, key=lambda r: r[:3])  # the order of runs isn't that of windows: these are compared below
     text = b"".join(r[4] for r in rows)
@@ -323,7 +325,7 @@ def _sort_group(rows: list[tuple]) -> list[tuple[int, int, int]]:
     by = np.lexsort((at, rk, doc, group))
     g = group[by]
     later = by[np.append(False, g[1:] == g[:-1])]
-    return list(zip(rk[later].tolist(), at[later].tolist(), [1] * len(later), strict=True))
+    return list(zip(doc[later].tolist(), rk[later].tolist(), at[later].tolist(), [1] * len(later), strict=True))
 
 
 def _settle(contents: DataFrame, parts: int, most: int = 1 << 20) -> DataFrame:
@@ -336,12 +338,12 @@ def _settle(contents: DataFrame, parts: int, most: int = 1 << 20) -> DataFrame:
         anchor, content, own = None, None, []
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), [pa.int64(), pa.int64(), pa.int32()], strict=True)], names=["rk", "start", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows, strict=True)), [pa.int64(), pa.int64(), pa.int64(), pa.int32()], strict=True)], names=["doc", "rk", "start", "n"])
 
         for batch in batches:
             for a, b, doc, rk, start, n in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "doc", "rk", "start", "n")), strict=True):
                 if a is None:
-                    out.append((rk, start, n))
+                    out.append((doc, rk, start, n))
                     continue
                 if a != anchor:
                     if len(own) > 1:
@@ -357,7 +359,7 @@ def _settle(contents: DataFrame, parts: int, most: int = 1 << 20) -> DataFrame:
                     if len(b) >= WINDOW:
                         own.append((doc, rk, start, n, b))
                 elif (doc, rk, start) != first:
-                    out.append((rk, start, n))
+                    out.append((doc, rk, start, n))
             if len(out) > 50_000:
                 yield batch_of(out)
                 out = []
@@ -374,28 +376,24 @@ def _settle(contents: DataFrame, parts: int, most: int = 1 << 20) -> DataFrame:
     return contents.repartitionById(parts, F.col("part")).sortWithinPartitions("anchor", "content", "doc", "rk", "start").mapInArrow(run, FLAGGED)
 
 
-def _row_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
-
-
 def duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """FLAGGED for all rows of ``docs``; rk is ``_row_key``. Runs may repeat and overlap."""
+    """FLAGGED for all rows of ``docs``, by ``order_id`` and ``text_hash``. Runs may repeat and overlap."""
     parts = partitions(docs.sparkSession)
-    keyed = docs.select(order_id().alias("doc"), _row_key().alias("rk"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    keyed = docs.select(order_id().alias("doc"), text_hash().alias("rk"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     long = keyed.where(F.octet_length("text") >= WINDOW)
-    found = saved(_repeated(_runs(long.select("rk", "text"), parts), parts, hot), "repeated")
+    found = saved(_repeated(_runs(long.select("doc", "rk", "text"), parts), parts, hot), "repeated")
     # Hot anchors are a table of their own: the planner knows its size, and spares the runs a shuffle while it is small.
     over = saved(found.where("n is null").select("anchor", F.lit(True).alias("hot")).coalesce(1), "hot")
     repeated = found.where("n is not null").join(over, "anchor", "left").fillna(False, ["hot"])
     # A document has as many runs as it has windows at most.
-    by_doc = repeated.groupBy("rk").agg(F.collect_set(F.struct("anchor", "start", "n", "hot")).alias("runs"))
+    by_doc = repeated.groupBy("doc", "rk").agg(F.collect_set(F.struct("anchor", "start", "n", "hot")).alias("runs"))
 
     def zip_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             z = zstandard.ZstdCompressor(level=1)
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("rk"), pa.array([z.compress(t) for t in b.column("text").to_pylist()], pa.binary())], names=["doc", "rk", "z"])
 
-    joined = long.mapInArrow(zip_, "doc long, rk long, z binary").join(by_doc, "rk").select("doc", "rk", "z", "runs")
+    joined = long.mapInArrow(zip_, "doc long, rk long, z binary").join(by_doc, ["doc", "rk"]).select("doc", "rk", "z", "runs")
     return _settle(_contents(joined, parts), parts)
 
 
@@ -404,12 +402,12 @@ RESULT = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "bi
 
 def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (bytes) of each row of ``docs``."""
-    runs = duplicates(docs, hot).groupBy("rk").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("runs"))
+    runs = duplicates(docs, hot).groupBy("doc", "rk").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("runs"))
 
     def zip_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             z = zstandard.ZstdCompressor(level=1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array([z.compress(t) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "rk", "z"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("doc"), b.column("rk"), pa.array([z.compress(t) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "doc", "rk", "z"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
@@ -436,5 +434,5 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 kept.append(b"".join(parts_))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", *RESULT])
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("rk"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(zip_, "doc_id long, rk long, z binary")
-    return packed.join(runs, "rk", "left").select("doc_id", "z", "runs").mapInArrow(cut, "doc_id long, " + ", ".join(f"{k} {v}" for k, v in RESULT.items()))
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order_id().alias("doc"), text_hash().alias("rk"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(zip_, "doc_id long, doc long, rk long, z binary")
+    return packed.join(runs, ["doc", "rk"], "left").select("doc_id", "z", "runs").mapInArrow(cut, "doc_id long, " + ", ".join(f"{k} {v}" for k, v in RESULT.items()))

@@ -73,3 +73,13 @@ def test_against_brute_force(spark, seed, hot):
 
 def test_empty(spark):
     assert S.suffix_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_documents_with_one_hash(spark, monkeypatch):
+    """Documents are known by their id and a hash: with one hash for all, those of different ids stay apart."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(S, "text_hash", lambda: F.lit(5).cast("long"))
+    rows = [r for r in dict((d, (d, t)) for d, t in corpus(3)).values()]
+    got = S.suffix_dedup(spark.createDataFrame([(d, t, "e", 1, 2) for d, t in rows], SCHEMA)).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got], key=repr) == brute(rows)
