@@ -4,7 +4,7 @@ A list is a table of dated changes (kind, pattern, category, action 'add' or 're
 only), ``domain`` (it and all below it) and ``prefix`` (host and leading path segments, without scheme). ``intervals``
 turns them into validity intervals [since, until): of changes at one instant a removal wins, repeated additions change
 nothing. ``judge`` is the as-of join: every capture meets the entries of its own keys (host, each parent domain, each
-path prefix) and those whose interval holds its fetch time are active. The most specific active entry is reported:
+path prefix, of the lengths that are listed at all) and those whose interval holds its fetch time are active. The most specific active entry is reported:
 prefix before host before domain, then the longest pattern, then by category.
 
 Skew: the list is folded to one row a key with an array of its intervals, which depends on the list alone; each such row is
@@ -12,9 +12,11 @@ replicated SALT times and each capture goes to one replica, so a host with a thi
 tasks. Nothing is broadcast by hint.
 
 Cases: a null url, one without a host, or a null fetch time matches nothing (blocked is false); rows of the list with a
-null kind, pattern, action or date, or an unknown action, change nothing; a null category is a category; repeated captures
-give a row each; other columns of the captures stay, except that they mustn't be named like the results; an empty list
-blocks nothing.
+null kind, pattern, action or date, or an unknown action, change nothing; a null category is a category; a prefix that is a
+bare host or ends in / matches nothing; repeated captures give a row each; of equally specific entries the last by
+pattern, category and date is shown; urls of any length are taken whole: the work for one grows with its length times the
+number of different lengths listed; other columns of the captures stay (a result's name among them is refused, any other
+is free); empty captures give no rows, an empty list blocks nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import saved, table
 from loomgraph.shipping import shipped
 
 SALT = 16
@@ -36,16 +38,16 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(authority, r"^.*@", "")), r"\.?(:[0-9]*)?$", "")
 
 
-def keys_of(url: Column, host: Column) -> Column:
-    """All (kind, pattern) that could list the url, as an array of structs."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    path = F.split(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)", 1), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(path, F.lit(1), i), "/")))
-    prefixes = F.filter(prefixes, lambda p: ~p.endswith("/"))
+def keys_of(url: Column, host: Column, domains: list[int], prefixes: list[int]) -> Column:
+    """All (kind, pattern) that could list the url, as an array of structs; of domains and prefixes those of these lengths."""
+    full = F.concat(host, F.lit("/"), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)", 1))
+    size, own = F.char_length(full), F.char_length(host)
+    char = lambda s, i: F.substr(s, i, F.lit(1))
+    some = lambda lengths: F.lit(lengths).cast("array<int>") if lengths else F.array().cast("array<int>")
+    tails = F.filter(some(domains), lambda n: (n == own) | ((n < own) & (char(host, own - n) == ".")))
+    heads = F.filter(some(prefixes), lambda n: (n > own + 1) & ((n == size) | ((n < size) & (char(full, n + 1) == "/"))) & (char(full, n) != "/"))
     entry = lambda kind, p: F.struct(F.lit(kind).alias("kind"), p.alias("pattern"))
-    found = F.array_distinct(F.concat(F.array(entry("host", host)), F.transform(domains, lambda p: entry("domain", p)), F.transform(prefixes, lambda p: entry("prefix", p))))
+    found = F.concat(F.array(entry("host", host)), F.transform(tails, lambda n: entry("domain", F.right(host, n))), F.transform(heads, lambda n: entry("prefix", F.left(full, n))))
     return F.when(F.coalesce(host, F.lit("")) != "", found)
 
 
@@ -62,19 +64,17 @@ def judge(captures: DataFrame, changes: DataFrame, url: str = "url", at: str = "
     """``captures`` with host, blocked, kind, pattern, category, since and n_active."""
     if clash := set(RESULTS) & set(captures.columns):
         raise ValueError(f"captures already have {sorted(clash)}")
-    listed = (
-        intervals(changes)
-        .groupBy("kind", "pattern")
-        .agg(F.collect_list(F.struct("since", "until", "category")).alias("spans"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    )
+    listed = saved(intervals(changes).groupBy("kind", "pattern").agg(F.collect_list(F.struct("since", "until", "category")).alias("spans")), "listed")
+    # The lengths of what is listed: at most as many as the longest pattern has characters.
+    lengths = {r.kind: sorted(r.n) for r in listed.where("kind in ('domain', 'prefix')").groupBy("kind").agg(F.collect_set(F.char_length("pattern")).alias("n")).collect()}
+    sent = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     # Equal urls fetched at one time are judged once.
     asked = captures.select(F.col(url).alias("u"), F.col(at).alias("t")).where("u is not null and t is not null").distinct()
     rank = F.create_map(*[F.lit(x) for x in ("prefix", 3, "host", 2, "domain", 1)])
     hits = (
         asked.withColumn("host", host_of(F.col("u")))
-        .select("u", "t", F.pmod(F.xxhash64("u", "t"), F.lit(salt)).cast("int").alias("salt"), F.inline(keys_of(F.col("u"), F.col("host"))))
-        .join(listed, ["kind", "pattern", "salt"])
+        .select("u", "t", F.pmod(F.xxhash64("u", "t"), F.lit(salt)).cast("int").alias("salt"), F.inline(keys_of(F.col("u"), F.col("host"), lengths.get("domain", []), lengths.get("prefix", []))))
+        .join(sent, ["kind", "pattern", "salt"])
         .withColumn("span", F.explode(F.filter("spans", lambda s: (s.since <= F.col("t")) & (s.until.isNull() | (F.col("t") < s.until)))))
     )
     best = F.max_by(
@@ -86,9 +86,9 @@ def judge(captures: DataFrame, changes: DataFrame, url: str = "url", at: str = "
     return out.select(
         *[captures[c] for c in captures.columns],
         host_of(captures[url]).alias("host"),
-        F.col("n_active").isNotNull().alias("blocked"),
-        *[F.col("best")[c].alias(c) for c in ("kind", "pattern", "category", "since")],
-        F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
+        verdict.n_active.isNotNull().alias("blocked"),
+        *[verdict.best[c].alias(c) for c in ("kind", "pattern", "category", "since")],
+        F.coalesce(verdict.n_active, F.lit(0)).cast("long").alias("n_active"),
     )
 
 

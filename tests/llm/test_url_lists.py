@@ -44,3 +44,20 @@ def test_against_brute_force(spark):
     none = U.judge(df, spark.createDataFrame([], LIST))
     assert none.where("blocked").count() == 0 and none.count() == len(caps)
     assert U.judge(df.limit(0), spark.createDataFrame(changes, LIST)).count() == 0
+
+
+def test_long_urls_and_clashing_columns(spark):
+    """Twenty thousand segments; captures with the names that the operator uses itself; result names are refused."""
+    import pytest
+
+    long = "http://a.b.org/" + "/".join(f"s{i}" for i in range(20_000))
+    deep = "http://" + "x." * 20_000 + "b.org/"
+    rows = [(1, long, 5), (2, deep, 5), (3, "http://b.org/s0", 5), (4, "http://b.org//", 5), (5, "http://a.b.org/s0?q", 5)]
+    changes = [("prefix", "a.b.org/s0", "p", "add", 1), ("prefix", "a.b.org/" + "/".join(f"s{i}" for i in range(40)), "q", "add", 1), ("domain", "b.org", "d", "add", 1), ("prefix", "b.org/", "e", "add", 1), ("prefix", "b.org", "e", "add", 1)]
+    names = ["page_id", "url", "fetched_at", "best", "u", "t", "span", "spans", "salt"]
+    df = spark.createDataFrame([(*r, *["e"] * 6) for r in rows], "page_id long, url string, fetched_at long, " + ", ".join(f"{n} string" for n in names[3:]))
+    out = U.judge(df, spark.createDataFrame(changes, LIST))
+    assert out.columns == names + U.RESULTS
+    assert {r.page_id: (r.kind, r.category, r.n_active, r.best) for r in out.collect()} == {1: ("prefix", "q", 3, "e"), 2: ("domain", "d", 1, "e"), 3: ("domain", "d", 1, "e"), 4: ("domain", "d", 1, "e"), 5: ("prefix", "p", 2, "e")}
+    with pytest.raises(ValueError):
+        U.judge(df.withColumnRenamed("best", "blocked"), spark.createDataFrame(changes, LIST))
