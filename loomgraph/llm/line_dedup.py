@@ -1,15 +1,20 @@
 """Line dedup that can be undone: exact reference counts of lines, with a sharded cuckoo filter of the repeated ones in front.
 
 A line's key is the line stripped of white space at both ends with A-Z lower-cased; only keys of MIN_CHARS code points or
-more count, and a key is held as its MD5. ``LineIndex`` keeps two tables below a folder, partitioned by key shard:
-``postings`` (which document holds which key) and ``refs`` (how many hold it, and the smallest doc_id), and for each shard
-a cuckoo filter of the keys that more than one document holds. ``insert`` and ``delete`` give a new version: only
-filters of shards whose repeated keys changed are touched, by inserting and deleting fingerprints. ``drops`` asks the
-filters first, so that only lines which may be repeated meet the exact table.
+more count, and a key is held as its MD5. ``LineIndex`` keeps two tables, a folder for each key shard: ``postings`` (which
+document holds which key) and ``refs`` (how many hold it, and the smallest doc_id), and for each shard a cuckoo filter of
+the keys that more than one document holds. ``insert`` and ``delete`` give a new version, which shares the files of all
+shards that aren't touched with the old one; of a touched shard the filter is written only if its repeated keys changed, by
+inserting and deleting fingerprints (anew if it gets too full). ``drops`` asks the filters first, so that only lines which
+may be repeated meet the exact table.
+
+Skew: a line that many documents hold is spread over tasks by document, when postings are written, when filters are asked
+and when it meets its owner (from SPREAD documents on).
 
 Cases: null or empty text is one empty line; null doc_ids are one document, smaller than all others; rows with the same
-doc_id are the same document, so a line in two of them alone isn't repeated; other columns are ignored; an empty table
-gives no rows.
+doc_id are the same document, so a line in two of them alone isn't repeated, and the smallest doc_id keeps a line wherever
+its rows hold it; repeated rows are treated alike; very long texts are split whole, in one task each; other columns
+stay (a result's name among them is refused; ``__doc``, ``__th`` and ``__dropped`` are its own); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACES, local_path, mix, order_id, partitions, scratch, text_hash
+from loomgraph.llm.common import SPACES, local_path, mix, order_id, partitions, saved, scratch, text_hash
 
 MIN_CHARS = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Tasks that may share the lines of one key shard, so that a hot line doesn't make one long task.
+#: Tasks that share the lines of one key shard, so that a hot line doesn't make one long task.
 SALT = 8
+#: Documents of one line that meet its owner in one task.
+SPREAD = 100_000
+RESULTS = ("n_lines", "n_dropped", "kept_text")
 
 
 def lines_of(text: Column) -> Column:
@@ -41,9 +49,9 @@ def key_of(line: Column) -> Column:
     return F.when(F.char_length(k) >= MIN_CHARS, F.unhex(F.md5(k.cast("binary"))))
 
 
-def hash_of(key: Column) -> Column:
-    """The key's first 64 bits."""
-    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc, th, keys (of all lines, null for those that don't count): a row for each row of ``docs``."""
+    return docs.select(order_id().alias("doc"), text_hash().alias("th"), F.transform(lines_of(F.col("text")), key_of).alias("keys"))
 
 
 class CuckooFilter:
@@ -130,80 +138,80 @@ class CuckooFilter:
 
 
 class LineIndex:
-    """One version of the state: tables ``postings`` and ``refs`` and the filters, all below ``at``."""
+    """One version of the state: for each key shard the folder of its ``postings`` and ``refs``, and the file of its filter."""
 
-    REFS = "key binary, shard int, refs long, owner long"
+    POSTINGS, REFS = "key binary, doc long", "key binary, refs long, owner long"
 
-    def __init__(self, spark: SparkSession, shards: int | None = None, at: str | None = None):
-        self.spark, self.at = spark, at
+    def __init__(self, spark: SparkSession, shards: int | None = None, where: dict[int, str] | None = None, filters: dict[int, str] | None = None):
+        self.spark, self.where, self.filters = spark, where or {}, filters or {}
         self.shards = shards or partitions(spark)
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.at}/{name}") if self.at else self.spark.createDataFrame([], schema)
+    def _read(self, name: str, schema: str, shards: set[int] | None = None) -> DataFrame:
+        paths = [f"{at}/{name}/shard={k}" for k, at in sorted(self.where.items()) if shards is None or k in shards]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     @property
     def postings(self) -> DataFrame:
-        return self._read("postings", "key binary, doc long")
+        return self._read("postings", self.POSTINGS)
 
     @property
     def refs(self) -> DataFrame:
         return self._read("refs", self.REFS)
 
-    @staticmethod
-    def keys(docs: DataFrame) -> DataFrame:
-        """key, doc: each key once for each row of ``docs``."""
-        k = F.array_distinct(F.array_compact(F.transform(lines_of(F.col("text")), key_of)))
-        return docs.select(order_id().alias("doc"), F.explode(k).alias("key"))
-
     def _shard(self) -> Column:
-        return F.pmod(hash_of(F.col("key")), F.lit(self.shards)).cast("int")
-
-    def _count(self, postings: DataFrame) -> DataFrame:
-        return postings.groupBy("key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc").alias("owner")).select("key", self._shard().alias("shard"), "refs", "owner")
-
-    def _next(self, postings: DataFrame, refs: DataFrame | None) -> LineIndex:
-        new = LineIndex(self.spark, self.shards, scratch(self.spark, "lines"))
-        postings.select("key", "doc").write.option("compression", "zstd").parquet(f"{new.at}/postings")
-        (self._count(new.postings) if refs is None else refs).select("key", "shard", "refs", "owner").write.option("compression", "zstd").parquet(f"{new.at}/refs")
-        new._filters(self)
+        return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int")
+
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """Rows (shard, doc) so that a shard's are in SALT tasks, by document."""
+        salt = F.pmod(F.xxhash64("doc"), F.lit(SALT))
+        return rows.repartitionById(self.shards, F.pmod(F.col("shard") + salt * F.lit(max(1, self.shards // SALT)), F.lit(self.shards)).cast("int"))
+
+    def _next(self, postings: DataFrame, touched: set[int]) -> LineIndex:
+        """The version in which the touched shards hold ``postings`` (key, doc)."""
+        at = scratch(self.spark, "lines")
+        self._spread(postings.select("key", "doc", self._shard().alias("shard"))).write.partitionBy("shard").option("compression", "zstd").parquet(f"{at}/postings")
+        back = self.spark.read.schema(self.POSTINGS + ", shard int").parquet(f"{at}/postings")
+        refs = back.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc").alias("owner"))
+        refs.repartitionById(self.shards, F.col("shard")).write.partitionBy("shard").option("compression", "zstd").parquet(f"{at}/refs")
+        there = {r.shard for r in self.spark.read.schema(self.REFS + ", shard int").parquet(f"{at}/refs").select("shard").distinct().collect()}  # at most one row a shard
+        kept = {k: v for k, v in self.where.items() if k not in touched}
+        new = LineIndex(self.spark, self.shards, kept | {k: at for k in there}, {k: v for k, v in self.filters.items() if k in kept})
+        new._write_filters(self, touched, local_path(f"{at}/filters"))
         return new
 
+    @staticmethod
+    def _shards_of(rows: DataFrame) -> set[int]:
+        return {r.shard for r in rows.select("shard").distinct().collect()}  # at most one row a shard
+
     def insert(self, docs: DataFrame) -> LineIndex:
-        """With the documents of ``docs`` added; a document that is there already stays as it is, by key."""
+        """With the documents of ``docs`` added; a document that is there already keeps its lines, and gets new ones."""
+        return self.insert_keyed(keyed(docs))
+
+    def insert_keyed(self, lines: DataFrame) -> LineIndex:
         # A doc_id may come in several rows: pairs are made distinct only among ids that occur more than once.
-        own = self.keys(docs)
-        many = docs.groupBy(order_id().alias("doc")).count().where("count > 1").select("doc")
+        own = lines.select("doc", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key"))
+        many = lines.groupBy("doc").count().where("count > 1").select("doc")
         if many.limit(1).count():
             own = own.join(many, "doc", "left_anti").unionByName(own.join(many, "doc", "left_semi").distinct())
-        if not self.at:
-            return self._next(own, None)
-        new = own.join(self.postings, ["key", "doc"], "left_anti")
-        add = self._count(new)
-        merged = (
-            self.refs.unionByName(add)
-            .groupBy("key", "shard")
-            .agg(F.sum("refs").alias("refs"), F.min("owner").alias("owner"))
-        )
-        return self._next(self.postings.unionByName(new.select("key", "doc")), merged)
+        if not self.where:
+            return self._next(own, set(range(self.shards)))
+        touched = self._shards_of(own.select(self._shard().alias("shard")))
+        old = self._read("postings", self.POSTINGS, touched)
+        return self._next(old.unionByName(own.select("key", "doc").join(old, ["key", "doc"], "left_anti")), touched)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents of these doc_ids, as if they had never been inserted."""
         gone = doc_ids.select(order_id().alias("doc")).distinct()
-        left = self.postings.join(gone, "doc", "left_anti")
-        touched = self.postings.join(gone, "doc", "left_semi").select("key").distinct()
-        again = self._count(left.join(touched, "key", "left_semi"))
-        return self._next(left, self.refs.join(touched, "key", "left_anti").unionByName(again.select("key", "shard", "refs", "owner")))
-
-    def _filters(self, old: LineIndex) -> None:
-        """Writes the filters: made anew where there was none or it is too full, else the old one with what changed."""
-        folder, before = local_path(f"{self.at}/filters"), old.at and local_path(f"{old.at}/filters")
+        touched = self._shards_of(self.postings.join(gone, "doc", "left_semi").select(self._shard().alias("shard")))
+        return self._next(self._read("postings", self.POSTINGS, touched).join(gone, "doc", "left_anti"), touched)
+
+    def _write_filters(self, old: LineIndex, touched: set[int], folder: str) -> None:
+        """Filters of the touched shards: the old file if no key has become repeated or ceased to be, else a new one."""
         os.makedirs(folder, exist_ok=True)
-        now = self.refs.where("refs > 1").select("shard", hash_of(F.col("key")).alias("h"), F.lit(True).alias("now"))
-        if old.at:
-            was = old.refs.where("refs > 1").select("shard", hash_of(F.col("key")).alias("h"), F.lit(True).alias("was"))
-            now = now.join(was, ["shard", "h"], "full")
-        else:
-            now = now.withColumn("was", F.lit(False))
+        repeated = lambda ix, name: ix._read("refs", ix.REFS, touched).where("refs > 1").select(ix._shard().alias("shard"), F.xxhash64("key").alias("h"), F.lit(True).alias(name))
+        rows = repeated(self, "now")
+        rows = rows.join(repeated(old, "was"), ["shard", "h"], "full") if old.where else rows.withColumn("was", F.lit(False))
+        before = dict(old.filters)
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = [b for b in batches if b.num_rows]
@@ -212,47 +220,55 @@ class LineIndex:
             t = pa.Table.from_batches(got)
             shard, h = t["shard"][0].as_py(), t["h"].to_numpy()
             now, was = (np.asarray(t[c].fill_null(False)) for c in ("now", "was"))
-            at = f"{before}/{shard}.npz" if before else ""
-            f = CuckooFilter.read(at) if at and os.path.exists(at) else None
-            if f is None or now.sum() > 0.9 * f.b.size:
-                f = CuckooFilter(int(now.sum()))
-                f.insert(h[now])
-            else:
-                f.delete(h[was & ~now])
-                f.insert(h[now & ~was])
-            f.save(f"{folder}/{shard}.npz")
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([int(now.sum())], pa.int64()), pa.array([f.load])], names=["shard", "n", "load"])
-
-        done = now.repartitionById(self.shards, F.col("shard")).mapInArrow(write, "shard int, n long, load double")
-        self.loads = {r.shard: (r.n, r.load) for r in done.collect()}  # one row a shard
+            path = before.get(shard, "")
+            if not path or (now != was).any():
+                f = CuckooFilter.read(path) if path else None
+                if f is None or now.sum() > 0.9 * f.b.size:
+                    f = CuckooFilter(int(now.sum()))
+                    f.insert(h[now])
+                else:
+                    f.delete(h[was & ~now])
+                    f.insert(h[now & ~was])
+                f.save(path := f"{folder}/{shard}.npz")
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path])], names=["shard", "path"])
+
+        done = rows.repartitionById(self.shards, F.col("shard")).mapInArrow(write, "shard int, path string")
+        self.filters |= {r.shard: r.path for r in done.collect()}  # one row a shard
 
     def drops(self, docs: DataFrame) -> DataFrame:
         """doc, th, dropped: positions of the lines that another, smaller document holds, for rows that have any."""
-        lines = docs.select(order_id().alias("doc"), text_hash().alias("th"), F.posexplode(F.transform(lines_of(F.col("text")), key_of)).alias("pos", "key")).where(F.col("key").isNotNull())
-        folder = local_path(f"{self.at}/filters")
+        return self.drops_keyed(keyed(docs))
+
+    def drops_keyed(self, lines: DataFrame, spread: int = SPREAD) -> DataFrame:
+        rows = lines.select("doc", "th", F.posexplode("keys").alias("pos", "key")).where("key is not null")
+        filters = dict(self.filters)
 
         def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard, own = -1, None
+            own: dict[int, CuckooFilter | None] = {}
             for batch in batches:
                 s, h = batch.column("shard").to_numpy(), batch.column("h").to_numpy()
                 hit = np.zeros(len(s), bool)
                 for k in np.unique(s).tolist():
-                    if k != shard:
-                        shard, at = k, f"{folder}/{k}.npz"
-                        own = CuckooFilter.read(at) if os.path.exists(at) else None
-                    if own is not None:
+                    if k not in own:
+                        own[k] = CuckooFilter.read(filters[k]) if k in filters else None
+                    if own[k] is not None:
                         of = s == k
-                        hit[of] = own.contains(h[of])
+                        hit[of] = own[k].contains(h[of])
                 yield batch.filter(pa.array(hit))
 
-        salted = lines.select("key", "doc", "th", "pos", self._shard().alias("shard"), hash_of(F.col("key")).alias("h")).repartitionById(self.shards * SALT, (F.col("shard") * SALT + F.pmod(F.xxhash64("doc"), F.lit(SALT))).cast("int"))
-        seen = salted.mapInArrow(maybe, "key binary, doc long, th long, pos int, shard int, h long")
-        held = self.refs.where("refs > 1").select("key", "owner")
-        return seen.join(held, "key").where("doc <> owner").groupBy("doc", "th").agg(F.collect_set("pos").alias("dropped"))
-
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with n_lines, n_dropped and kept_text."""
-        drops = self.drops(docs)
+        asked = self._spread(rows.select("key", "doc", "th", "pos", self._shard().alias("shard"), F.xxhash64("key").alias("h")))
+        seen = asked.mapInArrow(maybe, "key binary, doc long, th long, pos int, shard int, h long").select("key", "doc", "th", "pos")
+        held = saved(self.refs.where("refs > 1").select("key", "owner", F.ceil(F.col("refs") / spread).cast("int").alias("fan")), "held")
+        hot = saved(held.where("fan > 1").select("key", "fan"), "hot")  # its size is known to the planner, and mostly nothing
+        dealt = seen.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("fan", F.lit(1))).cast("int")).drop("fan")
+        sent = held.select("key", "owner", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
+        return dealt.join(sent, ["key", "salt"]).where("doc <> owner").groupBy("doc", "th").agg(F.collect_set("pos").alias("dropped"))
+
+    def apply(self, docs: DataFrame, drops: DataFrame | None = None) -> DataFrame:
+        """``docs`` with n_lines, n_dropped and kept_text; ``drops`` as ``drops`` gives it, if that is known."""
+        if clash := set(RESULTS) & set(docs.columns):
+            raise ValueError(f"there are columns {sorted(clash)} already")
+        drops = self.drops(docs) if drops is None else drops
         lines = lines_of(F.col("text"))
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
         joined = docs.withColumns({"__doc": order_id(), "__th": text_hash()}).join(drops.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("dropped").alias("__dropped")), ["__doc", "__th"], "left")
@@ -267,5 +283,6 @@ class LineIndex:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """Each document with n_lines, n_dropped and kept_text, by an index of all of them."""
-    bare = docs.select("doc_id", "text")
-    return LineIndex(docs.sparkSession).insert(bare).apply(docs)
+    lines = saved(keyed(docs), "keys")
+    index = LineIndex(docs.sparkSession).insert_keyed(lines)
+    return index.apply(docs, index.drops_keyed(lines))

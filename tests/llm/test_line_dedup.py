@@ -68,6 +68,41 @@ def test_insert_and_delete_are_reversible(spark):
     assert result(both.delete(spark.createDataFrame([(1,)], "doc_id long")).apply(frame(spark, rest))) == brute(rest)
 
 
+def test_untouched_shards_stay(spark):
+    """A version shares the files of the shards that aren't touched, and a filter of which no key changed."""
+    import os
+
+    rows = [(i, f"line of document {i}\nshared by pairs {i // 2}") for i in range(60)]
+    one = LineIndex(spark, 16).insert(frame(spark, rows))
+    assert set(one.filters) <= set(one.where) and len(one.where) > 10
+    two = one.insert(frame(spark, [(900, "a line that nobody else has")]))
+    moved = {k for k in two.where if two.where[k] != one.where.get(k)}
+    assert len(moved) == 1 and two.filters == one.filters
+    three = two.delete(spark.createDataFrame([(900,)], "doc_id long"))
+    assert {k for k in three.where if three.where[k] != two.where[k]} <= moved and three.filters == one.filters
+    four = three.delete(spark.createDataFrame([(0,), (2,)], "doc_id long"))
+    changed = {k for k in three.where if four.where.get(k) != three.where[k]}
+    assert 1 <= len(changed) <= 4
+    assert all(four.filters[k] == three.filters[k] for k in three.filters if k not in changed) and any(four.filters.get(k) != three.filters[k] for k in changed & set(three.filters))
+    assert all(os.path.exists(f) for f in four.filters.values())
+    rest = [r for r in rows if r[0] not in (0, 2)]
+    assert result(four.apply(frame(spark, rest))) == brute(rest)
+
+
+def test_hot_line_and_clashes(spark):
+    import pytest
+
+    from loomgraph.llm.line_dedup import keyed
+
+    rows = [(i, f"one line that all hold\nown line of {i}") for i in range(40)]
+    df = frame(spark, rows)
+    index = LineIndex(spark).insert(df)
+    assert result(index.apply(df, index.drops_keyed(keyed(df), spread=3))) == brute(rows)
+    for name in ("n_lines", "n_dropped", "kept_text"):
+        with pytest.raises(ValueError):
+            line_dedup(df.withColumn(name, F.lit(1)))
+
+
 def test_cuckoo_filter(tmp_path):
     rng = np.random.default_rng(0)
     h = rng.integers(-(2**63), 2**63 - 1, 20_000)
