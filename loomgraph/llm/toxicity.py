@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import Lookup, groups, mix, ngram_hashes, word_hashes
+from loomgraph.llm.common import Lookup, groups, mix, ngram_hashes, text_hash, word_hashes
 
 SAMPLE = 10_000
 FEATURES = 3000
@@ -244,15 +244,18 @@ def derive_intensity(y: np.ndarray, row: np.ndarray, col: np.ndarray, df: np.nda
 
 def fit(docs: DataFrame, labels: DataFrame, columns: list[str], names: list[str] | None = None, sample: int = SAMPLE, derive=None) -> Chain:
     """Trains on ``docs`` joined to ``labels`` by doc_id, ``columns`` being the labels' 0/1 columns."""
-    own = labels.where(" and ".join(f"`{c}` is not null" for c in ["doc_id", *columns])).select("doc_id", *columns)
+    own = labels.where(" and ".join(f"`{c}` is not null" for c in ["doc_id", *columns])).select("doc_id", *columns).distinct()
     n = own.count()
     if n > sample:  # the smallest hashes, to a bound that about ``sample`` rows keep
         own = own.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < F.lit(int(sample / n * (1 << 30))))
     names = names or columns
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("__text")).join(own, "doc_id").select("doc_id", "__text", F.array(*[F.col(f"`{c}`").cast("int") for c in columns]).alias("__y"))
+    y = own.select(F.col("doc_id").alias("d"), F.array(*[F.col(f"`{c}`").cast("int") for c in columns]).alias("y")).distinct()
+    rows = docs.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).cast("binary").alias("t"), text_hash().alias("th")).join(y, "d")
+    # The smallest of each task, then of all: no more than ``sample`` rows meet, however many share an id.
+    rows = rows.withColumn("h", F.xxhash64("d", "th", F.lit(11))).orderBy("h", "d", "t", "y").limit(sample).select("d", "t", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(d, t, y) for b in batches for d, t, y in zip(b.column("doc_id").to_pylist(), b.column("__text").to_pylist(), b.column("__y").to_pylist(), strict=True)]
+        got = [(d, t, y) for b in batches for d, t, y in zip(b.column("d").to_pylist(), b.column("t").to_pylist(), b.column("y").to_pylist(), strict=True)]
         got.sort()
         y = np.array([g[2] for g in got]).reshape(len(got), len(columns))
         yield pa.RecordBatch.from_arrays([pa.array([train([g[1] for g in got], y, list(names), derive).save()], pa.binary())], names=["model"])
@@ -281,5 +284,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with p_toxic, p_intense, p_varied and rejected, by a chain fitted on ``labels`` (doc_id, toxic)."""
+    if "rejected" in docs.columns:
+        raise ValueError("there is a column rejected already")
     chain = fit(docs, labels, ["toxic"], list(CATEGORIES), derive=derive_intensity)
     return score(docs, chain).withColumn("rejected", F.greatest(*[F.col(f"p_{c}") for c in CATEGORIES]) >= threshold)

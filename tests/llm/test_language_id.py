@@ -47,3 +47,40 @@ def test_few_languages(spark):
     one = spark.createDataFrame([(i, "kato mi", "aa") for i in range(8)], "doc_id long, text string, lang string")
     assert {(r.lang_pred, r.score) for r in L.language_id(one).collect()} == {("aa", 1.0)}
     assert L.language_id(one.limit(0)).count() == 0
+
+
+def test_ftrl_by_hand(monkeypatch):
+    """The vectorised learner against the formulas, coordinate by coordinate."""
+    import math
+
+    monkeypatch.setattr(L, "D", 6)
+    r = random.Random(1)
+    f, z, n = L.Ftrl(3), [[0.0] * 3 for _ in range(6)], [[0.0] * 3 for _ in range(6)]
+
+    def weight(i, k):
+        return 0.0 if abs(z[i][k]) <= L.L1 else -(z[i][k] - math.copysign(L.L1, z[i][k])) / ((L.BETA + math.sqrt(n[i][k])) / L.ALPHA + L.L2)
+
+    for _ in range(200):
+        at = sorted(r.sample(range(6), 3))
+        v, y = [r.random() for _ in at], r.randrange(3)
+        s = [sum(x * weight(i, k) for i, x in zip(at, v, strict=True)) for k in range(3)]
+        p = [math.exp(x) / sum(map(math.exp, s)) for x in s]
+        new = {(i, k): (x * (p[k] - (k == y)), weight(i, k)) for i, x in zip(at, v, strict=True) for k in range(3)}
+        for (i, k), (g, w) in new.items():
+            z[i][k] += g - (math.sqrt(n[i][k] + g * g) - math.sqrt(n[i][k])) / L.ALPHA * w
+            n[i][k] += g * g
+        f.learn(np.array(at), np.array(v), y)
+    assert np.allclose(f.z, z) and np.allclose(f.n, n)
+    assert np.allclose(f.weights(slice(None)), [[weight(i, k) for k in range(3)] for i in range(6)])
+
+
+def test_sample_is_bounded_and_clashes_refused(spark):
+    import pytest
+
+    rows = [(None, f"kato miru {i}", "aa") for i in range(300)] + [(7, f"berung lich {i}", "bb") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = L.fit(df, per_language=40)
+    assert m.names == ["aa", "bb"] and m.predict("kato")[0] == "aa" and m.predict("berung")[0] == "bb"
+    for c in ("held_out", "lang_pred", "score"):
+        with pytest.raises(ValueError):
+            L.language_id(df.withColumnRenamed("doc_id", "doc_id").selectExpr("*", f"1 as {c}"))
