@@ -11,11 +11,15 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch, where the session has Spark's default: long rows would fill four times as much, in every worker.
+BATCH_BYTES = 16 << 20
 
 
 def ensure(spark: SparkSession) -> None:
     """Once for each application: the package's sources as a zip that executors fetch from the driver."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "").rstrip("b") == str(64 << 20):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
