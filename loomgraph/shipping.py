@@ -18,7 +18,7 @@ BATCH_BYTES = 16 << 20
 def ensure(spark: SparkSession) -> None:
     """Once for each application: the package's sources as a zip that executors fetch from the driver."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "").rstrip("b") == str(64 << 20):
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(64 << 20):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
