@@ -158,6 +158,19 @@ def groups(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``most`` bytes, for what is the better settled the more rows meet."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 class Lookup:
     """Places of 64-bit hashes in a sorted array of distinct ones, -1 for others; a bit table answers for most of those."""
 

@@ -237,10 +237,12 @@ def _rare(sets: DataFrame, threshold: float) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.frombuffer(x, np.int32) for x in batch.column("shingles").to_pylist()]
-            at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            if not own:
+                continue
+            every, at = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
             for k in range(0, len(at), 1 << 16):
-                part = at[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([batch.column("sid").take(pa.array(part)), batch.column("n").take(pa.array(part)), pa.array(np.concatenate(own)[k : k + (1 << 16)])], names=["sid", "n", "g"])
+                part = pa.array(at[k : k + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([batch.column("sid").take(part), batch.column("n").take(part), pa.array(every[k : k + (1 << 16)])], names=["sid", "n", "g"])
 
     each = saved(sets.select("sid", "n", "shingles").mapInArrow(spread, "sid binary, n int, g int"), "spread")
     count = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))

@@ -36,11 +36,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import groups, mix, order_id, partitions, saved, text_hash
+from loomgraph.llm.common import gathered, groups, mix, order_id, partitions, saved, text_hash
 
 WINDOW = 100
 K = 32
 HOT = 40_000
+#: Bytes of rows among which repeats are settled before they are sent.
+BATCH = 20 << 20
 #: Rounds of names: after the last one names stand for 3**ROUNDS bytes, and need no further telling apart.
 ROUNDS = 5
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -181,7 +183,7 @@ def _runs(docs: DataFrame, parts: int) -> DataFrame:
     """PACKED: a batch's runs by part: documents' keys, then anchor, document's place, start, windows, occurrences (0: known to repeat, goes by document)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, BATCH):
             keys, ids, texts = batch.column("rk").to_numpy().view(np.uint64), batch.column("doc").to_numpy(), batch.column("text").to_pylist()
             got = []
             for a, b in groups(texts, 1 << 19):
@@ -257,7 +259,7 @@ def _contents(joined: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in gathered(batches, BATCH):
             best: dict[tuple, tuple] = {}
             known: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
