@@ -11,8 +11,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
-#: Bytes of an Arrow batch, where the session has Spark's default: long rows would fill four times as much, in every worker.
-BATCH_BYTES = 16 << 20
+#: Bytes of an Arrow batch, where the session has Spark's default: long rows would fill sixteen times as much, in every worker.
+BATCH_BYTES = 4 << 20
 
 
 def ensure(spark: SparkSession) -> None:
