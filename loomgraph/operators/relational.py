@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,33 +125,66 @@ def best_split(keys: list[str], sizes: list[float], least: float, most: float) -
 
 
 def unique_names(names: list[str]) -> list[str]:
-    """Counters from 2 before the extension; names differ in more than case."""
-    taken: set[str] = set()
+    """Counters from 2 on, before the extension, which begins at the first dot but a leading one of the last path segment.
+
+    Names differ in more than ASCII case, unless they hold hash placeholders. Each name keeps its own counter of how often it was asked for.
+    """
+    asked: dict[str, int] = {}
     out = []
     for name in names:
-        stem, dot, ext = name.rpartition(".")
-        stem, ext = (stem, dot + ext) if dot else (name, "")
-        new, k = name, 2
-        while new.lower() in taken:
-            new, k = f"{stem}{k}{ext}", k + 1
-        taken.add(new.lower())
+        file = name.rsplit("/", 1)[-1]
+        dot = file.find(".", 1) if file != ".." else -1
+        ext = file[dot:] if dot > 0 else ""
+        stem, new = name[: len(name) - len(ext)], name
+        while (key := new if _PLACEHOLDER.search(new) else new.translate(_ASCII_LOWER)) in asked:
+            n = asked[key]
+            asked[key] = n + 1
+            new = f"{stem}{n}{ext}"
+        asked[key] = 2
         out.append(new)
     return out
 
 
-def copy_files(found: DataFrame, folder: str) -> DataFrame:
-    """file and length of the copies of ``found`` (path, content) in a mounted folder; a repeated task replaces its own."""
+_PLACEHOLDER = re.compile(r"!~\{[0-9a-zA-Z_$]+\}~")
+_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def conflict_names(bases: list[str]) -> list[str]:
+    """The first to ask for a name gets it, later ones name$1, name$2 and so on, past those that others have as their base."""
+    used: dict[str, int] = {}
+    out = []
+    for base in bases:
+        new, n = base, 0
+        if base in used:
+            used[base] += 1
+            n = used[base]
+            while (new := f"{base}${n}") in used:
+                used[new] += 1
+                n = used[new]
+        used[new] = 0
+        out.append(new)
+    return out
+
+
+def copy_files(found: DataFrame, root: str, folder: str) -> DataFrame:
+    """file (path below ``root``) and length of the copies of ``found`` (path, content) in a mounted folder; a repeated task replaces its own."""
     import os
     import uuid
 
+    root = "/" + re.sub(r"^file:/*", "", root).strip("/") + "/"
+
     def run(batches):
-        os.makedirs(folder, exist_ok=True)
         for b in batches:
-            names = [p.rsplit("/", 1)[-1] for p in b["path"]]
-            for name, content in zip(names, b["content"], strict=True):
-                with open(own := f"{folder}/.{uuid.uuid4().hex}", "wb") as f:
+            names = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                at = "/" + re.sub(r"^file:/*", "", path).lstrip("/")
+                if not at.startswith(root):
+                    raise ValueError(f"{path} is not below {root}")
+                names.append(at[len(root) :])
+                os.makedirs(os.path.dirname(to := f"{folder}/{names[-1]}"), exist_ok=True)
+                with open(own := f"{to}.{uuid.uuid4().hex}", "wb") as f:
                     f.write(content)
-                os.replace(own, f"{folder}/{name}")
+                os.replace(own, to)
             yield pd.DataFrame({"file": names, "length": [os.path.getsize(f"{folder}/{n}") for n in names]})
 
     return found.select("path", "content").mapInPandas(run, "file string, length long")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from loomgraph.functions import text as X
 from loomgraph.operators.fixpoint import kept, least_fixpoint, shared_path
 from loomgraph.operators.graph import edges_of, reach
-from loomgraph.operators.relational import as_of, best_split, chunk_edges, chunk_modules, client_needs, copy_files, exports, files, imports, in_flight, match_rules, merge_small, merge_snapshot, star_exports, unique_names, write_outputs
+from loomgraph.operators.relational import as_of, best_split, chunk_edges, chunk_modules, client_needs, conflict_names, copy_files, exports, files, imports, in_flight, match_rules, merge_small, merge_snapshot, star_exports, unique_names, write_outputs
 from loomgraph.registry import query
 from loomgraph.sources import testdata as D
 from loomgraph.sources.testdata import CHUNKS, ENTRIES, MODULES, RECORDS, REACH, table, with_
@@ -28,7 +28,7 @@ def _chunks(spark, sf):
 
 @query("src1_file_scan", None)
 def src1(spark, sf):
-    return files(spark, sf, "region*.parquet").select(X.basename(F.col("path")).alias("file"), "length")
+    return files(spark, sf, "*.parquet").select(X.basename(F.col("path")).alias("file"), "length")
 
 
 @query("src2_memory_files", "SELECT * FROM (VALUES ('/a.js', 12), ('/b/c.ts', 4)) t(path, length)")
@@ -94,18 +94,21 @@ def src9(spark, sf):
     return D.modules(spark, sf).where(hit).agg(F.sort_array(F.collect_list("id")).alias("files"))
 
 
-@query("src10_expression_glob", "SELECT './dir/*.js' AS glob, page_id FROM pages")
+@query("src10_expression_glob", "SELECT './p' || page_id % 7 || '/*.' || ['js', 'json', 'css'][page_id % 3 + 1] AS glob, page_id FROM pages")
 def src10(spark, sf):
     """A template or concatenation with its dynamic parts as stars; runs of stars are one."""
-    text = F.concat(F.lit("`./dir/${x"), F.col("page_id").cast("string"), F.lit("}${y}.js`"))
+    p = F.col("page_id")
+    ext = F.element_at(F.array(F.lit("js"), F.lit("json"), F.lit("css")), (p % 3 + 1).cast("int"))
+    text = F.concat(F.lit("`./p"), (p % 7).cast("string"), F.lit("/${x"), p.cast("string"), F.lit("}${y}."), ext, F.lit("`"))
     glob = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\$\{[^}]*\}", "*"), r"\*+", "*"), "^`|`$", "")
     return table(spark, sf, "pages").select(glob.alias("glob"), "page_id")
 
 
-@query("src11_data_urls", "SELECT page_id, 'text/html' AS mime, page_id % 2 = 0 AS is_base64, url AS payload FROM pages")
+@query("src11_data_urls", "SELECT page_id, ['text/html', 'text/plain', 'image/svg+xml'][page_id % 3 + 1] AS mime, page_id % 2 = 0 AS is_base64, url AS payload FROM pages")
 def src11(spark, sf):
     u = F.col("url")
-    made = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("data:text/html;base64,"), F.translate(F.base64(u.cast("binary")), "\r\n", ""))).otherwise(F.concat(F.lit("data:text/html;x=1,"), X.percent_encode(u)))
+    mime = F.element_at(F.array(F.lit("text/html"), F.lit("text/plain"), F.lit("image/svg+xml")), (F.col("page_id") % 3 + 1).cast("int"))
+    made = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.translate(F.base64(u.cast("binary")), "\r\n", ""))).otherwise(F.concat(F.lit("data:"), mime, F.lit(";x=1,"), X.percent_encode(u)))
     pages = table(spark, sf, "pages").select("page_id", made.alias("d"))
     return pages.select("page_id", *[c.alias(n) for n, c in X.parse_data_url(F.col("d")).items()])
 
@@ -143,7 +146,7 @@ def snk8(spark, sf):
     at = shared_path(spark, "copies")
     if "://" in at and not at.startswith("file:"):
         raise ValueError("copies need a mounted shared folder")
-    copied = copy_files(files(spark, sf, "region*.parquet"), "/" + at.removeprefix("file:").lstrip("/"))
+    copied = copy_files(files(spark, sf, "*.parquet"), sf, "/" + at.removeprefix("file:").lstrip("/"))
     return copied.select("file", "length")
 
 
@@ -455,7 +458,10 @@ def ag16(spark, sf):
     return D.import_records(spark, sf).join(D.modules(spark, sf), F.col("importer") == F.col("module_idx")).select("package_id", "importee", "importer", F.first("importer").over(w).alias("linked"))
 
 
-@query("ag17_common_directory", M + "SELECT module_type, '/repo/src' AS dir FROM modules GROUP BY module_type")
+@query("ag17_common_directory", with_(MODULES, """segs AS (SELECT module_type, unnest(string_split(id, '/')[1:-2]) AS seg, generate_subscripts(string_split(id, '/')[1:-2], 1) AS i FROM modules),
+n AS (SELECT module_type, count(*) AS n FROM modules GROUP BY module_type),
+same AS (SELECT module_type, i, min(seg) AS seg, count(DISTINCT seg) = 1 AND count(*) = any_value(n) AS same FROM segs JOIN n USING (module_type) GROUP BY module_type, i),
+upto AS (SELECT *, bool_and(same) OVER (PARTITION BY module_type ORDER BY i) AS shared FROM same)""") + "SELECT module_type, string_agg(seg, '/' ORDER BY i) FILTER (WHERE shared) AS dir FROM upto GROUP BY module_type")
 def ag17(spark, sf):
     """Only the least and the greatest path of a group are needed."""
     return D.modules(spark, sf).groupBy("module_type").agg(X.common_directory(F.array(F.min("id"), F.max("id"))).alias("dir"))
@@ -529,16 +535,25 @@ def wn8(spark, sf):
     return _chunks(spark, sf).select("module_idx", "chunk_idx", F.row_number().over(w).alias("pos"))
 
 
-@query("wn9_conflict_names", M + "SELECT module_idx, split_part(package_id, '#', 1) || CASE WHEN r = 0 THEN '' ELSE '$' || r END AS name FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY size DESC, id) - 1 AS r FROM modules)")
+@query("wn9_conflict_names", M + "SELECT module_idx, split_part(package_id, '#', 1) || CASE WHEN r = 0 THEN '' ELSE '$' || r END AS name FROM (SELECT *, row_number() OVER (PARTITION BY split_part(package_id, '#', 1) ORDER BY size DESC, id) - 1 AS r FROM modules)")
 def wn9(spark, sf):
-    """The first comer keeps the base name, later ones are numbered; exact as long as no base ends in $ and digits."""
-    r = F.row_number().over(Window.partitionBy("package_id").orderBy(F.desc("size"), "id")) - 1
-    return D.modules(spark, sf).withColumn("r", r).select("module_idx", F.concat(F.substring_index("package_id", "#", 1), F.when(F.col("r") == 0, "").otherwise(F.concat(F.lit("$"), F.col("r").cast("string")))).alias("name"))
+    """In order of size; names that may clash are alike but for a $ and digits at the end, and those are one group."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "id"], ascending=[False, True])
+        return pd.DataFrame({"module_idx": pdf["module_idx"], "name": conflict_names(pdf["base"].tolist())})
+
+    base = F.substring_index("package_id", "#", 1)
+    rows = D.modules(spark, sf).select("module_idx", "size", "id", base.alias("base"), F.regexp_replace(base, r"(\$[0-9]+)+\z", "").alias("family"))
+    return rows.groupBy("family").applyInPandas(run, "module_idx long, name string")
 
-@query("wn10_unique_file_names", None)
+
+@query("wn10_unique_file_names", M + "SELECT module_idx, split_part(package_id, '#', 1) || CASE WHEN r = 1 THEN '' ELSE r::VARCHAR END || '.' || module_type AS file FROM (SELECT *, row_number() OVER (PARTITION BY split_part(package_id, '#', 1), module_type ORDER BY module_idx) AS r FROM modules)")
 def wn10(spark, sf):
-    """Each outcome depends on all before; names that may clash share a stem without its digits, which makes the groups."""
+    """Each outcome depends on all before; names that may clash share a stem without its digits, which makes the groups.
+
+    No name here holds digits or differs in case alone, so the SQL needs only a rank.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("module_idx")

@@ -34,7 +34,16 @@ def st1_stream(spark, sf):
     src = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
     kind = F.when(F.col("event_type") == "signup", "Create").when(F.col("event_type") == "error", "Delete").otherwise("Update")
     changes = src.select(F.col("event_id").alias("seq"), "ts", F.col("user_id").alias("path"), kind.alias("kind"))
-    return C.run_available(C.sessions(changes), f"debounce_{abs(hash(at))}", at, "complete")
+    return C.run_available(C.sessions(changes), at, "complete")
+
+
+@query("st1_debounce_watermark", with_(CHANGES, ISLANDS) + "SELECT path, count(*) AS n, min(ts) AS first, max(ts) AS last FROM isl GROUP BY path, session HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM changes) - INTERVAL 1 DAY")
+def st1_watermark(spark, sf):
+    """From the same stream in append mode: sessions that no event can join any more, by a watermark a day behind."""
+    at = shared_path(spark, "stream")
+    src = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
+    out = C.run_available(C.debounced_stream(src.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("path"))), at)
+    return out.select("path", "n", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"))
 
 
 FOLD = """kinds AS (SELECT path, list(kind ORDER BY ts, seq) AS ks FROM changes GROUP BY path),
@@ -47,7 +56,7 @@ def src13(spark, sf):
     at = shared_path(spark, "stream")
     src = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
     kind = F.when(F.col("event_type") == "signup", "Create").when(F.col("event_type") == "error", "Delete").otherwise("Update")
-    return C.run_available(src.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")), f"watched_{abs(hash(at))}", at, "complete")
+    return C.run_available(src.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")), at, "complete")
 
 
 @query("st2_fold_changes", with_(CHANGES, FOLD) + "SELECT path, kind, n FROM folded WHERE kind <> ''")
@@ -63,11 +72,20 @@ def st3(spark, sf):
     return ch.groupBy("path").agg(C.fold_kinds(kinds).alias("kind")).agg(F.count("kind").alias("built"), F.count_if(F.col("kind").isNull()).alias("idle"))
 
 
-@query("st4_state_machine", with_(CHANGES) + "SELECT path, CASE WHEN bool_or(kind = 'Delete') THEN 'Closed' WHEN arg_max(kind, struct_pack(a := ts, b := seq)) = 'Create' THEN 'Debouncing' ELSE 'Idle' END AS state FROM changes GROUP BY path")
+WATCH = """steps AS (SELECT path, list(struct_pack(us := epoch_us(ts), input := CASE kind WHEN 'Delete' THEN 'close' ELSE 'change' END) ORDER BY ts, seq) AS es FROM changes GROUP BY path),
+ended AS (SELECT path, list_reduce(list_transform(es, lambda e: {'state': e.input, 'builds': 0::BIGINT, 'ignored': 0::BIGINT, 'last': e.us}), lambda s, e: {
+  'state': CASE WHEN s.state IN ('Closing', 'Closed') THEN 'Closed' WHEN e.state = 'close' THEN 'Closing' ELSE 'Debouncing' END,
+  'builds': s.builds + CASE WHEN s.state = 'Debouncing' AND e.last - s.last > 21600000000 THEN 1 ELSE 0 END,
+  'ignored': s.ignored + CASE WHEN s.state IN ('Closing', 'Closed') THEN 1 ELSE 0 END,
+  'last': CASE WHEN s.state IN ('Closing', 'Closed') THEN s.last ELSE e.last END}, {'state': 'Idle', 'builds': 0::BIGINT, 'ignored': 0::BIGINT, 'last': 0::BIGINT}) AS s FROM steps)"""
+
+
+@query("st4_state_machine", with_(CHANGES, WATCH) + "SELECT path, s.state AS state, s.builds AS builds, s.ignored AS ignored FROM ended")
 def st4(spark, sf):
-    name = F.when(F.col("kind") == "Delete", "close").when(F.col("kind") == "Create", "change").otherwise("quiet")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ts", "seq", name.alias("input")))), lambda c: c.input)
-    return D.file_changes(spark, sf).groupBy("path").agg(C.state_machine(ordered).alias("state"))
+    """A watcher for each path: what state it ends in, how many builds it gave out, and what came too late."""
+    change = F.when(F.col("kind") == "Delete", "close").otherwise("change")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ts", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), change.alias("input")))), lambda c: F.struct(c.us.alias("us"), c.input.alias("input")))
+    return D.file_changes(spark, sf).groupBy("path").agg(C.watcher(ordered, 6 * 3_600_000_000).alias("s")).select("path", "s.state", "s.builds", "s.ignored")
 
 
 @query("st5_split_renames", with_(CHANGES) + "SELECT seq, path, 'Delete' AS kind FROM changes WHERE seq % 10 = 0 UNION ALL SELECT seq, path + 1, 'Create' FROM changes WHERE seq % 10 = 0 UNION ALL SELECT seq, path, kind FROM changes WHERE seq % 10 <> 0")
@@ -89,16 +107,43 @@ def st7(spark, sf):
     return D.modules(spark, sf).join(changed, "module_idx", "left_semi").select(F.col("package_id").alias("task")).distinct()
 
 
-@query("st8_micro_batches", with_(CHANGES) + "SELECT seq // 500 AS batch, count(*) AS n, count(DISTINCT path) AS paths FROM changes GROUP BY seq // 500")
+COORDINATOR = """q AS (SELECT user_id AS owner, list(CASE event_type WHEN 'signup' THEN 'start' WHEN 'click' THEN 'change' WHEN 'view' THEN 'change' WHEN 'error' THEN 'failed' ELSE 'done' END ORDER BY ts, event_id) AS xs FROM events GROUP BY user_id),
+ended AS (SELECT owner, list_reduce(list_transform(xs, lambda x: {'state': x, 'builds': 0::BIGINT, 'buffered': 0::BIGINT, 'released': 0::BIGINT, 'queued': 0::BIGINT, 'drained': 0::BIGINT, 'drains': 0::BIGINT}), lambda s, e:
+  CASE s.state
+  WHEN 'Initialized' THEN CASE WHEN e.state = 'start' THEN struct_update(s, state := 'FullBuildInProgress', builds := s.builds + 1) ELSE s END
+  WHEN 'FullBuildInProgress' THEN CASE
+    WHEN e.state IN ('change', 'start') THEN struct_update(s, buffered := s.buffered + 1)
+    WHEN e.state = 'failed' THEN struct_update(s, state := 'FullBuildFailed')
+    WHEN s.buffered > 0 THEN struct_update(s, state := 'InProgress', builds := s.builds + 1, released := s.released + s.buffered, buffered := 0::BIGINT)
+    ELSE struct_update(s, state := 'Idle') END
+  WHEN 'InProgress' THEN CASE
+    WHEN e.state IN ('change', 'start') THEN struct_update(s, queued := s.queued + 1)
+    WHEN s.queued > 0 THEN struct_update(s, builds := s.builds + 1, drained := s.drained + s.queued, drains := s.drains + 1, queued := 0::BIGINT)
+    WHEN e.state = 'failed' THEN struct_update(s, state := 'Failed')
+    ELSE struct_update(s, state := 'Idle') END
+  WHEN 'FullBuildFailed' THEN CASE WHEN e.state IN ('change', 'start') THEN struct_update(s, state := 'FullBuildInProgress', builds := s.builds + 1, buffered := 0::BIGINT) ELSE s END
+  ELSE CASE WHEN e.state IN ('change', 'start') THEN struct_update(s, state := 'InProgress', builds := s.builds + 1) ELSE s END END,
+  {'state': 'Initialized', 'builds': 0::BIGINT, 'buffered': 0::BIGINT, 'released': 0::BIGINT, 'queued': 0::BIGINT, 'drained': 0::BIGINT, 'drains': 0::BIGINT}) AS s FROM q)"""
+
+
+def _coordinators(spark, sf):
+    """One build coordinator for each user, its inputs read off their events."""
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type").isin("click", "view"), "change").when(F.col("event_type") == "error", "failed").otherwise("done")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", kind.alias("input")))), lambda c: c.input)
+    return table(spark, sf, "events").groupBy(F.col("user_id").alias("owner")).agg(C.coordinator(ordered).alias("s"))
+
+
+@query("st8_drained_changes", with_(COORDINATOR) + "SELECT owner, s.drained AS drained, s.drains AS drains, s.queued AS queued FROM ended")
 def st8(spark, sf):
-    """What gathers during a build is drained after it, as one batch."""
-    return D.file_changes(spark, sf).groupBy(F.floor(F.col("seq") / 500).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("paths"))
+    """What gathers during a build is drained after it, as one batch: changes drained, batches, and those that wait yet."""
+    return _coordinators(spark, sf).select("owner", "s.drained", "s.drains", "s.queued")
 
 
 QUEUE = """q AS (SELECT user_id AS owner, list(CASE event_type WHEN 'signup' THEN 'FullBuild' WHEN 'error' THEN 'Rebuild' WHEN 'click' THEN 'Hmr' ELSE 'HmrRebuild' END ORDER BY ts, event_id) AS ts FROM events GROUP BY user_id)"""
 
 
-@query("st9_coalesce_queue", None)
+@query("st9_coalesce_queue", with_(QUEUE) + """SELECT owner, list_reduce(list_transform(ts, lambda t: [t]), lambda s, t: CASE WHEN s[-1] = 'FullBuild' OR t[1] = 'FullBuild' THEN s[1:-2] || ['FullBuild'] WHEN s[-1] = t[1] THEN s
+  WHEN s[-1] IN ('Hmr', 'HmrRebuild') AND t[1] IN ('Hmr', 'HmrRebuild') THEN s[1:-2] || ['HmrRebuild'] ELSE s || t END) AS queue FROM q""")
 def st9(spark, sf):
     """Adjacent tasks merge; a fold over each queue in the row."""
     task = F.when(F.col("event_type") == "signup", "FullBuild").when(F.col("event_type") == "error", "Rebuild").when(F.col("event_type") == "click", "Hmr").otherwise("HmrRebuild")
@@ -106,18 +151,16 @@ def st9(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("user_id").alias("owner")).agg(C.coalesce_queue(ordered).alias("queue"))
 
 
-@query("st10_coordinator", "SELECT user_id AS owner, arg_max(CASE event_type WHEN 'error' THEN 'Failed' WHEN 'signup' THEN 'FullBuildInProgress' WHEN 'click' THEN 'InProgress' ELSE 'Idle' END, struct_pack(a := ts, b := event_id)) AS state FROM events GROUP BY user_id")
+@query("st10_coordinator", with_(COORDINATOR) + "SELECT owner, s.state AS state, s.builds AS builds FROM ended")
 def st10(spark, sf):
-    """The coordinator's state after its last transition."""
-    state = F.when(F.col("event_type") == "error", "Failed").when(F.col("event_type") == "signup", "FullBuildInProgress").when(F.col("event_type") == "click", "InProgress").otherwise("Idle")
-    return table(spark, sf, "events").groupBy(F.col("user_id").alias("owner")).agg(F.max_by(state, F.struct("ts", "event_id")).alias("state"))
+    """The coordinator's state after all its transitions, and how many builds it started."""
+    return _coordinators(spark, sf).select("owner", "s.state", "s.builds")
 
 
-@query("st11_buffered_changes", "WITH f AS (SELECT user_id, min(ts) AS built FROM events WHERE event_type = 'signup' GROUP BY user_id) SELECT e.user_id AS owner, count(*) FILTER (WHERE e.ts < f.built OR f.built IS NULL) AS buffered FROM events e LEFT JOIN f ON f.user_id = e.user_id GROUP BY e.user_id")
+@query("st11_buffered_changes", with_(COORDINATOR) + "SELECT owner, s.buffered AS buffered, s.released AS released FROM ended")
 def st11(spark, sf):
-    """Changes before the first full build has ended wait for it."""
-    built = F.min(F.when(F.col("event_type") == "signup", F.col("ts"))).over(Window.partitionBy("user_id"))
-    return table(spark, sf, "events").select("user_id", "ts", built.alias("built")).groupBy(F.col("user_id").alias("owner")).agg(F.count_if(F.coalesce(F.col("ts") < F.col("built"), F.lit(True)) | F.col("built").isNull()).alias("buffered"))
+    """Changes that wait for the full build, and those that were released by its end."""
+    return _coordinators(spark, sf).select("owner", "s.buffered", "s.released")
 
 
 @query("st12_stamps", with_(CHANGES) + "SELECT path, max(seq // 100) AS stamp FROM changes GROUP BY path")

@@ -55,11 +55,22 @@ def debounced_stream(changes: DataFrame, gap: str = GAP, late: str = "1 day") ->
     return sessions(changes.withWatermark("ts", late), gap)
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now, into a table in memory (for tests and small results)."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(df: DataFrame, at: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now, each micro-batch into a table of its own below the shared folder ``at``.
+
+    The rows of all batches; in complete mode those of the last one. A repeated batch replaces its table.
+    """
+    schema, done = df.schema, []
+
+    def write(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/{k}")
+        done.append(k)
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    paths = [f"{at}/out/{k}" for k in sorted(set(done))][-1 if mode == "complete" else 0 :]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 TASKS = ("FullBuild", "Rebuild", "Hmr", "HmrRebuild")
@@ -81,7 +92,64 @@ def coalesce_queue(tasks: Column) -> Column:
     return F.aggregate(tasks, F.array().cast("array<string>"), push)
 
 
-def state_machine(kinds: Column) -> Column:
-    """Idle / Debouncing / Closed after an ordered array of inputs (change, quiet, close)."""
-    step = lambda s, k: F.when(s == "Closed", s).when(k == "close", "Closed").when(k == "change", "Debouncing").otherwise("Idle")
-    return F.aggregate(kinds, F.lit("Idle"), step)
+def watcher(events: Column, quiet_us: int) -> Column:
+    """state, builds, ignored, last after an ordered array of events struct(us, input); inputs are change and close.
+
+    Idle or Debouncing goes to Debouncing at a change, which puts the deadline off; from a deadline that has passed, the
+    changes are built and the watcher is Idle. A close leads to Closing, and what comes next finds it Closed; neither takes changes.
+    """
+
+    def step(s: Column, e: Column) -> Column:
+        due = (s.state == "Debouncing") & (e.us - s["last"] > quiet_us)
+        over = s.state.isin("Closing", "Closed")
+        state = F.when(over, "Closed").when(e.input == "close", "Closing").otherwise("Debouncing")
+        return F.struct(
+            state.alias("state"),
+            (s.builds + due.cast("long")).alias("builds"),
+            (s.ignored + over.cast("long")).alias("ignored"),
+            F.when(over, s["last"]).otherwise(e.us).alias("last"),
+        )
+
+    zero = F.lit(0).cast("long")
+    return F.aggregate(events, F.struct(F.lit("Idle").alias("state"), zero.alias("builds"), zero.alias("ignored"), zero.alias("last")), step)
+
+
+COORDINATOR = ("state", "builds", "buffered", "released", "queued", "drained", "drains")
+
+
+def coordinator(inputs: Column) -> Column:
+    """COORDINATOR after an ordered array of inputs: start, change, done (a build ended), failed (it ended with an error).
+
+    A full build is started once. Changes during it are buffered, and released as one build when it has succeeded; if it fails
+    they are dropped with the next change, which starts it again. Changes during other builds are queued, merged, and drained
+    as one build when that ends, whether it succeeded or not. An end without a build, and a change before the start, are ignored.
+    """
+
+    def step(s: Column, x: Column) -> Column:
+        full, busy, ready = s.state == "FullBuildInProgress", s.state == "InProgress", s.state.isin("Idle", "Failed")
+        change, ended = x.isin("change", "start") & (s.state != "Initialized"), x.isin("done", "failed")
+        begins = (s.state == "Initialized") & (x == "start")
+        release = full & (x == "done") & (s.buffered > 0)
+        drain = busy & ended & (s.queued > 0)
+        again = change & (s.state == "FullBuildFailed")
+        state = (
+            F.when(begins | again, "FullBuildInProgress")
+            .when(release | drain | (change & ready), "InProgress")
+            .when(full & (x == "failed"), "FullBuildFailed")
+            .when(busy & (x == "failed"), "Failed")
+            .when((full | busy) & ended, "Idle")
+            .otherwise(s.state)
+        )
+        n = lambda c: c.cast("long")
+        return F.struct(
+            state.alias("state"),
+            (s.builds + n(begins | again | release | drain | (change & ready))).alias("builds"),
+            F.when(release | again, n(F.lit(0))).otherwise(s.buffered + n(change & full)).alias("buffered"),
+            (s.released + F.when(release, s.buffered).otherwise(n(F.lit(0)))).alias("released"),
+            F.when(drain, n(F.lit(0))).otherwise(s.queued + n(change & busy)).alias("queued"),
+            (s.drained + F.when(drain, s.queued).otherwise(n(F.lit(0)))).alias("drained"),
+            (s.drains + n(drain)).alias("drains"),
+        )
+
+    zero = F.lit(0).cast("long")
+    return F.aggregate(inputs, F.struct(F.lit("Initialized").alias("state"), *[zero.alias(c) for c in COORDINATOR[1:]]), step)

@@ -92,3 +92,52 @@ def test_incremental_equals_full(spark):
     left = spark.createDataFrame([("a", 1), ("a", 5), ("b", 3)], "k string, t int")
     right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y")], "k string, t int, v string")
     assert {tuple(r) for r in as_of(left, right, ["k"], "t", "v").select("k", "t", "v").collect()} == {("a", 1, None), ("a", 5, "y"), ("b", 3, None)}
+
+
+def test_unique_and_conflict_names():
+    from loomgraph.operators.relational import conflict_names
+
+    assert unique_names(["foo.js", "foo2.js", "foo.js"]) == ["foo.js", "foo2.js", "foo3.js"]
+    assert unique_names(["a/x.d.js", "a/x.d.js", "a.b/x", "a.b/x", ".env", ".env"]) == ["a/x.d.js", "a/x2.d.js", "a.b/x", "a.b/x2", ".env", ".env2"]
+    assert unique_names(["c-!~{00d}~.js", "c-!~{00D}~.js", "c-!~{00d}~.js"]) == ["c-!~{00d}~.js", "c-!~{00D}~.js", "c-!~{00d}~2.js"]
+    assert conflict_names(["a", "a$1", "a", "a", "b"]) == ["a", "a$1", "a$2", "a$3", "b"]
+    assert conflict_names(["a", "a", "a$1", "a$1"]) == ["a", "a$1", "a$1$1", "a$1$2"]
+
+
+def test_watcher_and_coordinator(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.streaming import changes as C
+
+    def watched(*events):
+        df = spark.createDataFrame([(list(events),)], "es array<struct<us:long,input:string>>")
+        return tuple(df.select(C.watcher(F.col("es"), 10).alias("s")).select("s.state", "s.builds", "s.ignored").first())
+
+    assert watched() == ("Idle", 0, 0)
+    assert watched((0, "change"), (10, "change"), (21, "change")) == ("Debouncing", 1, 0)
+    assert watched((0, "change"), (11, "close")) == ("Closing", 1, 0)
+    assert watched((0, "change"), (1, "close"), (30, "change"), (60, "change")) == ("Closed", 0, 2)
+
+    def built(*inputs):
+        df = spark.createDataFrame([(list(inputs),)], "xs array<string>")
+        return tuple(df.select(C.coordinator(F.col("xs")).alias("s")).select(*[f"s.{c}" for c in C.COORDINATOR]).first())
+
+    assert built("change", "done") == ("Initialized", 0, 0, 0, 0, 0, 0)
+    assert built("start", "change", "change") == ("FullBuildInProgress", 1, 2, 0, 0, 0, 0)
+    assert built("start", "change", "change", "done") == ("InProgress", 2, 0, 2, 0, 0, 0)
+    assert built("start", "change", "failed") == ("FullBuildFailed", 1, 1, 0, 0, 0, 0)
+    assert built("start", "change", "failed", "change") == ("FullBuildInProgress", 2, 0, 0, 0, 0, 0)
+    assert built("start", "done", "change", "change", "change", "failed") == ("InProgress", 3, 0, 0, 0, 2, 1)
+    assert built("start", "done", "change", "failed") == ("Failed", 2, 0, 0, 0, 0, 0)
+    assert built("start", "done", "change", "done", "done") == ("Idle", 2, 0, 0, 0, 0, 0)
+
+
+def test_copies_keep_their_folders(spark, tmp_path):
+    from loomgraph.operators.relational import copy_files, files
+
+    for at in ("a", "b"):
+        (tmp_path / "in" / at).mkdir(parents=True)
+        (tmp_path / "in" / at / "x.bin").write_text(at)
+    got = copy_files(files(spark, str(tmp_path / "in")), str(tmp_path / "in"), str(tmp_path / "out")).collect()
+    assert sorted(r.file for r in got) == ["a/x.bin", "b/x.bin"]
+    assert (tmp_path / "out/a/x.bin").read_text() == "a" and (tmp_path / "out/b/x.bin").read_text() == "b"
