@@ -2,6 +2,13 @@
 
 Toxic documents go; of each class of near duplicates one document stays; copies of benchmark items go; sources are mixed
 to their target weights (documents may repeat); the mixture becomes token id shards with their index.
+
+Cases, for every stage but the last: all columns of its documents come out, whatever they are named (save for the few names
+that begin with two underscores, which the operators use); null and empty texts are neither toxic nor copies of anything, and of
+size 0 in the mixture, so they stay; rows that share a doc_id are told apart by text; equal rows are one document to near
+duplicates, of which one stays (those without a shingle all stay); very long texts are read whole, each in one task; ties go
+to the smaller document or hash, as each operator says; empty documents, labels or items give an empty result or leave all as it is. The last
+stage gives a row for each document of the mixture, found by its key; a null doc_id is a key.
 """
 
 from __future__ import annotations
@@ -9,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, mixing, near_dup, token_ids, toxicity
 from loomgraph.llm.common import saved, table
@@ -19,7 +27,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("not rejected").select(*docs.columns)
+    # Under names that the results don't have.
+    held = {c: f"__column{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    judged = toxicity.toxicity(docs.withColumnsRenamed(held), table(spark, sf_dir, "labels"))
+    return judged.where("not rejected").select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
