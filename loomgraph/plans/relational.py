@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from loomgraph.functions import text as X
 from loomgraph.operators.fixpoint import kept, least_fixpoint, shared_path
 from loomgraph.operators.graph import edges_of, reach
-from loomgraph.operators.relational import as_of, best_split, chunk_edges, chunk_modules, client_needs, conflict_names, copy_files, exports, files, imports, in_flight, match_rules, merge_small, merge_snapshot, star_exports, unique_names, write_outputs
+from loomgraph.operators.relational import as_of, best_split, chunk_edges, chunk_modules, client_needs, conflict_names, copy_files, exports, files, imports, in_flight, match_rules, merge_small, merge_targets, merge_snapshot, star_exports, unique_names, write_outputs
 from loomgraph.registry import query
 from loomgraph.sources import testdata as D
 from loomgraph.sources.testdata import CHUNKS, ENTRIES, MODULES, RECORDS, REACH, table, with_
@@ -344,6 +344,31 @@ def ag1(spark, sf):
     return _chunks(spark, sf).groupBy("chunk_idx").agg(F.sort_array(F.collect_list("module_idx")).alias("modules"), F.sum("size").alias("size"))
 
 
+MERGE = """shared AS (SELECT DISTINCT chunk_idx, entry_set FROM chunk_modules WHERE len(entry_set) > 1),
+member AS (SELECT s.chunk_idx, e.* FROM (SELECT chunk_idx, unnest(entry_set) AS entry_idx FROM shared) s JOIN entries e USING (entry_idx)),
+sizes AS (SELECT chunk_idx, count(*) FILTER (WHERE kind = 0) AS users FROM member GROUP BY chunk_idx),
+grp AS (SELECT m.*, s.users FROM member m JOIN sizes s USING (chunk_idx) WHERE s.users = 0 OR m.kind = 0),
+tgt AS (SELECT g.chunk_idx, min(g.entry_idx) AS t FROM grp g WHERE NOT EXISTS (SELECT 1 FROM grp o WHERE o.chunk_idx = g.chunk_idx AND o.entry_idx <> g.entry_idx
+  AND NOT EXISTS (SELECT 1 FROM import_records r WHERE r.importer = o.module_idx AND r.importee = g.module_idx AND r.kind <> 'dynamic-import')) GROUP BY g.chunk_idx),
+plan AS (SELECT s.chunk_idx, s.users, t.t FROM sizes s LEFT JOIN tgt t USING (chunk_idx)),
+reached AS (SELECT DISTINCT r.entry_idx, d.entry_idx AS d FROM reach r JOIN entries u ON u.entry_idx = r.entry_idx AND u.kind = 0 JOIN entries d ON d.module_idx = r.module_idx AND d.kind = 1),
+inside AS (SELECT p.chunk_idx, p.t, m.entry_idx AS d FROM plan p JOIN member m ON m.chunk_idx = p.chunk_idx AND m.kind = 1 WHERE p.users > 0 AND p.t IS NOT NULL),
+effects AS (SELECT c.entry_set[1] AS t FROM chunk_modules c JOIN modules m USING (module_idx) WHERE len(c.entry_set) = 1 GROUP BY 1 HAVING bool_or(m.has_side_effects)),
+judged AS (SELECT p.*,
+  EXISTS (SELECT 1 FROM inside i WHERE i.chunk_idx = p.chunk_idx AND NOT EXISTS (SELECT 1 FROM reached r WHERE r.entry_idx = p.t AND r.d = i.d)) AS unreached,
+  EXISTS (SELECT 1 FROM inside i JOIN reached r ON r.d = i.d AND r.entry_idx <> i.t JOIN effects e ON e.t = i.t WHERE i.chunk_idx = p.chunk_idx) AS leaks,
+  EXISTS (SELECT 1 FROM chunk_modules c JOIN entries d ON d.module_idx = c.module_idx AND d.kind = 1 JOIN import_records r ON r.importee = c.module_idx AND r.kind = 'dynamic-import' LEFT JOIN chunk_modules h ON h.module_idx = r.importer
+    WHERE p.users > 0 AND c.chunk_idx = p.chunk_idx AND NOT coalesce(h.entry_set = [p.t], false) AND NOT coalesce(h.chunk_idx = p.chunk_idx AND h.module_idx NOT IN (SELECT module_idx FROM entries WHERE kind = 1), false)) AS importers,
+  EXISTS (SELECT 1 FROM chunk_modules c JOIN member m ON m.module_idx = c.module_idx AND m.chunk_idx = c.chunk_idx AND m.kind = 1 WHERE p.users = 0 AND c.chunk_idx = p.chunk_idx AND m.entry_idx <> p.t) AS pollutes FROM plan p),
+verdicts AS (SELECT chunk_idx, t, CASE WHEN t IS NULL THEN 'no_target' WHEN pollutes THEN 'pollutes' WHEN unreached THEN 'unreached' WHEN leaks THEN 'leaks' WHEN importers THEN 'importers' ELSE 'merged' END AS verdict FROM judged)"""
+
+
+@query("co1_merge_targets", with_(MODULES, RECORDS, ENTRIES, REACH, CHUNKS, MERGE, recursive=True) + "SELECT chunk_idx, CASE WHEN verdict = 'merged' THEN t END AS target, verdict FROM verdicts")
+def co1(spark, sf):
+    """Shared chunks that may be folded into an entry, before the sequential test of each merge for cycles."""
+    return merge_targets(_chunks(spark, sf), D.import_records(spark, sf), D.entries(spark, sf))
+
+
 RULES = [(0, "steel", "STEEL", 10, 0, 3000), (1, "large", "LARGE", 20, 500, 1 << 40), (2, "any", "", 0, 0, 1 << 40)]
 RULES_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(str(r) for r in RULES) + ") t(rule_idx, name, test, priority, min_size, max_size))"
 

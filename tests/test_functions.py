@@ -141,3 +141,30 @@ def test_copies_keep_their_folders(spark, tmp_path):
     got = copy_files(files(spark, str(tmp_path / "in")), str(tmp_path / "in"), str(tmp_path / "out")).collect()
     assert sorted(r.file for r in got) == ["a/x.bin", "b/x.bin"]
     assert (tmp_path / "out/a/x.bin").read_text() == "a" and (tmp_path / "out/b/x.bin").read_text() == "b"
+
+
+def test_merge_targets(spark):
+    """One shared chunk for each verdict; entries 0-3 are user entries, 4-6 dynamic ones, entry k is module 10 + k."""
+    from loomgraph.operators.relational import merge_targets
+
+    def verdict(entry_set, records, effects=(), extra=()):
+        """The chunk of module 1, loaded by ``entry_set``."""
+        ent = spark.createDataFrame([(k, 10 + k, int(k >= 4)) for k in range(7)], "entry_idx long, module_idx long, kind int")
+        rows = [(10 + k, [k], k, k in effects) for k in range(7) if 10 + k not in extra] + [(m, list(entry_set), 99, False) for m in (1, *extra)]
+        chunks = spark.createDataFrame(rows, "module_idx long, entry_set array<long>, chunk_idx int, has_side_effects boolean")
+        rec = spark.createDataFrame(records, "importer long, importee long, kind string")
+        return tuple(merge_targets(chunks, rec, ent).first())[1:]
+
+    s, d = "import-statement", "dynamic-import"
+    assert verdict([0, 1], [(10, 11, s)]) == (1, "merged")
+    assert verdict([0, 1], [(10, 11, d)]) == (None, "no_target")
+    assert verdict([0, 1, 2], [(10, 11, s), (12, 11, s), (11, 12, s)]) == (1, "merged")
+    assert verdict([0, 4], [(10, 14, d)]) == (0, "merged")
+    assert verdict([0, 4], [(11, 14, d)]) == (None, "unreached")
+    assert verdict([0, 4], [(10, 14, d), (11, 14, d)]) == (0, "merged")
+    assert verdict([0, 4], [(10, 14, d), (11, 14, d)], effects=[0]) == (None, "leaks")
+    assert verdict([0, 4], [(10, 14, d)], effects=[0]) == (0, "merged")
+    assert verdict([0, 4], [(10, 14, d)], extra=[14]) == (0, "merged")
+    assert verdict([0, 4], [(10, 14, d), (12, 14, d)], extra=[14]) == (None, "importers")
+    assert verdict([4, 5], [(14, 15, s)]) == (5, "merged")
+    assert verdict([4, 5], [(14, 15, s), (15, 14, s)], extra=[15]) == (None, "pollutes")
