@@ -150,8 +150,8 @@ def sketch(docs: DataFrame) -> DataFrame:
 BITS = 26
 
 
-def _bit(h: Column) -> Column:
-    return F.pmod(h, F.lit(1 << BITS))
+def _two_bits(h: Column) -> Column:
+    return F.array(F.pmod(h, F.lit(1 << BITS)), F.pmod(F.shiftright(h, BITS), F.lit(1 << BITS)))
 
 
 def _head(sid: Column) -> Column:
@@ -166,17 +166,23 @@ def _bits_of(path: str) -> np.ndarray:
 
 
 def _in_bits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    at = at & ((1 << BITS) - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    """Both bits of each hash are looked at, the second only where the first is set."""
+    out = np.zeros(len(at), bool)
+    left = np.arange(len(at))
+    for h in (at, at >> BITS):
+        k = h[left] & ((1 << BITS) - 1)
+        left = left[(bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1]
+    out[left] = True
+    return out
 
 
 def _bit_file(hashes: DataFrame) -> str | None:
-    """Path of a file of 2**BITS bits in the shared folder that says which values of ``hashes`` (h) there may be; None if there is none.
+    """Path of a file of 2**BITS bits in the shared folder, two for each value of ``hashes`` (h), by which others are told; None if there is no value.
 
     Its size is fixed; with more values than it can tell apart, more rows travel to the exact join that follows.
     """
     folder = local_path(scratch(hashes.sparkSession, "bits"))
-    words = hashes.select(_bit(F.col("h")).alias("b")).groupBy(F.floor(F.col("b") / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("x"))
+    words = hashes.select(F.explode(_two_bits(F.col("h"))).alias("b")).groupBy(F.floor(F.col("b") / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("x"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, any_ = np.zeros((1 << BITS) // 64, np.uint64), False
@@ -351,7 +357,7 @@ def _grams(docs: DataFrame, path: str | None, counts: bool = False, rows: str |
         for batch in batches:
             if some is not None:
                 batch = batch.filter(pa.array(_in_bits(some, batch.column("th").to_numpy())))
-            texts = batch.column("text").to_pylist()
+            texts, held = batch.column("text").to_pylist(), []
             for a, b in groups(texts):
                 h, n = word_hashes(texts[a:b])
                 own = [np.unique(ngram_hashes(w, SHINGLE)) for w in np.split(h, np.cumsum(n)[:-1])]
@@ -361,11 +367,13 @@ def _grams(docs: DataFrame, path: str | None, counts: bool = False, rows: str |
                     keep = _in_bits(bits, every)
                     every, at = every[keep], at[keep]
                 if counts:
-                    every, many = np.unique(every, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(many)], names=["h", "n"])
+                    held.append(every)
                 else:
                     take = pa.array(at)
                     yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), batch.column("th").take(take), pa.array(size[at - a].astype(np.int32)), pa.array(every)], names=["doc", "th", "size", "h"])
+            if held:
+                every, many = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(many)], names=["h", "n"])
 
     keyed = docs.select(order_id().alias("doc"), text_hash().alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return keyed.mapInArrow(run, "h long, n long" if counts else "doc long, th long, size int, h long")
