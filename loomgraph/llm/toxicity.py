@@ -192,15 +192,26 @@ def train(texts: list[bytes], labels: np.ndarray, names: list[str], derive=None)
             seen[1].add(own[1])
         kept.append(i)
         words.append(len(h))
-        terms.append(np.unique(np.concatenate([h, *more[1::2]]), return_counts=True))
+        own, times = np.unique(np.concatenate([h, *more[1::2]]), return_counts=True)
+        terms.append((own, times.astype(np.int32)))
     y = labels[kept].astype(float)
     none = Chain(np.zeros(0, np.uint64), [], names)
     if not len(y) or not 0 < y[:, 0].sum() < len(y):
         return none
-    row = np.repeat(np.arange(len(terms)), [len(w) for w, _ in terms])
-    times = np.concatenate([c for _, c in terms])
-    keys, col, df = np.unique(np.concatenate([w for w, _ in terms]), return_inverse=True, return_counts=True)
     fold = (mix(np.array([int(w[0]) if len(w) else i for i, (w, _) in enumerate(terms)], np.uint64)) % np.uint64(FOLDS)).astype(int)
+    # Terms of fewer documents can't be chosen, and are most of all: they go before anything is made of them.
+    every = np.concatenate([w for w, _ in terms])
+    every.sort()
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))[: len(every)]
+    df = np.diff(np.append(first, len(every)))
+    keys, df = every[first[df >= MIN_DOCS]], df[df >= MIN_DOCS]
+    del every, first
+    for i, (w, c) in enumerate(terms):
+        at = np.minimum(np.searchsorted(keys, w), max(0, len(keys) - 1))
+        hit = keys[at] == w if len(keys) else np.zeros(len(w), bool)
+        terms[i] = at[hit].astype(np.int32), c[hit]
+    row = np.repeat(np.arange(len(terms)), [len(w) for w, _ in terms])
+    col, times = (np.concatenate([t[k] for t in terms]).astype(np.int64) for k in (0, 1))
     del terms
     if derive:
         y = derive(y, row, col, df)
