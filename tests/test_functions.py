@@ -83,6 +83,36 @@ def test_sequential_kernels():
     assert out["merged"].tolist() == [2, 1] and sorted(out["size"]) == [11, 20]
 
 
+def test_merge_small_of_many_groups():
+    """The same merges as comparing all groups makes, in a time that many groups allow."""
+    import random
+    import time
+
+    import pandas as pd
+
+    def plainly(groups, least):
+        own = [(s, frozenset(e), k, 1) for s, e, k in groups]
+        while len(own) > 1 and (small := min(own, key=lambda g: (g[0], g[2])))[0] < least:
+            own.remove(small)
+            best = min(own, key=lambda g: (len(g[1] ^ small[1]), g[0], g[2]))
+            own.remove(best)
+            own.append((best[0] + small[0], best[1] | small[1], min(best[2], small[2]), best[3] + small[3]))
+        return {(k, tuple(sorted(e)), s, n) for s, e, k, n in own}
+
+    def merged(groups, least):
+        out = merge_small(pd.DataFrame({"size": [g[0] for g in groups], "entry_set": [g[1] for g in groups], "key": [g[2] for g in groups]}), least)
+        return {(k, tuple(e), s, n) for k, e, s, n in zip(out["key"], out["entry_set"], out["size"], out["merged"], strict=True)}
+
+    draw = random.Random(1)
+    for _ in range(150):
+        groups = [(float(draw.randint(0, 9)), draw.sample(range(12), draw.randint(0, 5)), f"k{i}") for i in range(draw.randint(0, 25))]
+        assert merged(groups, 15) == plainly(groups, 15)
+    many = [(1.0 + i % 7, [i // 4, i // 4 + 1 + i % 3], f"k{i:05}") for i in range(30_000)]
+    begun = time.monotonic()
+    assert sum(g[3] for g in merged(many, 15)) == len(many)
+    assert time.monotonic() - begun < 30
+
+
 def test_incremental_equals_full(spark):
     from loomgraph.operators.relational import as_of, merge_snapshot
 
