@@ -83,6 +83,13 @@ def test_sequential_kernels():
     assert out["merged"].tolist() == [2, 1] and sorted(out["size"]) == [11, 20]
 
 
+def test_minified_names_stay_distinct(spark):
+    """Past three characters too, where the SQL of wn11 stops."""
+    first = 54 + 54 * 64 + 54 * 64 * 64
+    rows = spark.range(first - 3, first + 3).select("id", X.minified_name(F.col("id")).alias("name")).collect()
+    assert [r.name for r in rows] == ["Z99", "$99", "_99", "aaaa", "baaa", "caaa"]
+
+
 def test_merge_small_of_many_groups():
     """The same merges as comparing all groups makes, in a time that many groups allow."""
     import random
