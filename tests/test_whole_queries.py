@@ -53,3 +53,26 @@ def test_edits_beyond_the_end(spark, tmp_path):
     for name, f in want.items():
         got = {r[0]: tuple(r[1:]) for r in registry.queries()[name](spark, str(tmp_path)).collect()}
         assert got == {i: f(t) if t is not None else (None,) * len(f("")) for i, t in enumerate(texts)}, name
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="needs the test tables")
+def test_pairs_of_entries_are_not_shuffled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = registry.queries()["gr5_is_reachable"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plan.split("BroadcastNestedLoopJoin")[0]
+    assert above != plan and "Exchange" not in above
+
+
+def test_reachable_pairs_of_many_entries(spark):
+    """More entries than a word has bits, one module entered twice, a cycle."""
+    from loomgraph.operators.graph import reachable_pairs
+
+    at = [*range(150), 3]
+    edges = [(i, i + 1) for i in range(60, 140)] + [(140, 60), (3, 200), (200, 149), (149, 149)]
+    entries = spark.createDataFrame(list(enumerate(at)), "entry_idx int, module_idx long")
+    got = sorted(tuple(r) for r in reachable_pairs(entries, spark.createDataFrame(edges, "src long, dst long")).collect())
+    cycle = range(60, 141)
+    assert got == sorted((a, b, (a in cycle and b in cycle) or (a in (3, 149) and b == 149)) for a in at for b in at)
