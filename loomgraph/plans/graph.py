@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.operators.fixpoint import closure, components, kept, least_fixpoint, peel, roots
-from loomgraph.operators.graph import backward, distances, edges_of, execution_order, inclusion, reach, reachable_pairs, statements
+from loomgraph.operators.graph import backward, distances, edges_of, execution_order, inclusion, loaded, reach, reachable_pairs, statements
 from loomgraph.registry import query
 from loomgraph.sources import testdata as D
 from loomgraph.sources.testdata import ENTRIES, MODULES, RECORDS, REACH, with_
@@ -234,24 +234,15 @@ absent AS (SELECT m.d AS e, m.module_idx FROM missing m JOIN entries i ON i.entr
 
 @query("gr20_already_loaded", with_(RECORDS, ENTRIES, LOADED, recursive=True) + "SELECT e AS entry_idx, count(*) AS absent FROM absent GROUP BY e")
 def gr20(spark, sf):
-    """The greatest fixpoint of atoms surely loaded before a dynamic entry, as the least one of atoms that may be absent."""
+    """How many atoms may be absent before a dynamic entry: all but those surely loaded."""
     _, rec, ent = _base(spark, sf)
     ent = kept(ent)
     stat = kept(reach(ent, edges_of(rec, *D.STATIC)))
     target = ent.where("kind = 1").select(F.col("module_idx").alias("importee"), F.col("entry_idx").alias("d"))
     dyn = kept(stat.join(rec.where("kind <> 'import-statement'"), stat.module_idx == rec.importer).join(target, "importee").select(F.col("entry_idx").alias("importer"), "d").distinct())
-    # Atoms that a dynamic entry's importer doesn't load itself: pairs of a few entries with the atoms, less what is loaded.
-    atoms = stat.select("module_idx").distinct()
-    lacks = dyn.join(atoms, F.lit(True)).join(stat.select(F.col("entry_idx").alias("importer"), "module_idx"), ["importer", "module_idx"], "left_anti")
-    missing = kept(lacks.select("importer", "d", "module_idx"))
-    by = missing.select(F.col("importer").alias("e"), "module_idx", F.col("d").alias("__d"))
-    users = ent.where("kind = 0").select(F.col("entry_idx").alias("importer"))
-    first = missing.join(users, "importer", "left_semi").select(F.col("d").alias("e"), "module_idx")
-
-    def step(new):
-        return new.join(by, ["e", "module_idx"]).select(F.col("__d").alias("e"), "module_idx")
-
-    return least_fixpoint(first, step).groupBy(F.col("e").alias("entry_idx")).agg(F.count(F.lit(1)).alias("absent"))
+    sure = loaded(stat, dyn, ent.where("kind = 0").select("entry_idx"))
+    atoms = stat.select("module_idx").distinct().agg(F.count(F.lit(1)).alias("atoms"))
+    return sure.join(atoms, F.lit(True)).select("entry_idx", (F.col("atoms") - F.col("loaded")).alias("absent")).where("absent > 0")
 
 
 @query("gr21_backward_static", with_(MODULES, RECORDS, """up AS (SELECT module_idx FROM modules WHERE module_idx % 17 = 0 UNION SELECT i.importer FROM up u JOIN import_records i ON i.importee = u.module_idx WHERE i.kind = 'import-statement')""", recursive=True) + "SELECT module_idx FROM up")

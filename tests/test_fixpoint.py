@@ -55,3 +55,20 @@ def test_roots(spark, parents):
         return x
 
     assert {tuple(r) for r in roots(spark.createDataFrame(links, "v long, parent long")).collect()} == {(v, root(v)) for v, _ in links}
+
+
+@few
+@given(st.sets(st.tuples(st.integers(0, 7), st.integers(3, 7)), min_size=1, max_size=14), st.sets(st.tuples(st.integers(0, 7), st.integers(0, 4)), min_size=1, max_size=25))
+def test_loaded(spark, imports, own):
+    """Entries 0 to 2 are a user's; those no user entry leads to have no row, and candidates are the only rows made."""
+    from loomgraph.operators.graph import loaded
+
+    atoms, users = {m for _, m in own}, range(3)
+    absent, grown = set(), True
+    while grown:
+        new = {(d, m) for x, d in imports for m in atoms if (x, m) not in own and (x in users or (x, m) in absent)}
+        grown, absent = new != absent, new
+    met = {d for d in range(3, 8) if any((u, d) in reachable(imports) for u in users)}
+    users_df = spark.createDataFrame([(u,) for u in users], "entry_idx long")
+    got = loaded(spark.createDataFrame(sorted(own), "entry_idx long, module_idx long"), spark.createDataFrame(sorted(imports), "importer long, d long"), users_df)
+    assert {tuple(r) for r in got.collect()} == {(d, len(atoms) - sum((d, m) in absent for m in atoms)) for d in met}
