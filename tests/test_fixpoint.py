@@ -72,3 +72,28 @@ def test_loaded(spark, imports, own):
     users_df = spark.createDataFrame([(u,) for u in users], "entry_idx long")
     got = loaded(spark.createDataFrame(sorted(own), "entry_idx long, module_idx long"), spark.createDataFrame(sorted(imports), "importer long, d long"), users_df)
     assert {tuple(r) for r in got.collect()} == {(d, len(atoms) - sum((d, m) in absent for m in atoms)) for d in met}
+
+
+def test_rounds_send_no_table_to_the_driver(spark, monkeypatch):
+    """Nor do chunks made of them: each join in a round would send one more."""
+    from loomgraph.operators import fixpoint, graph, relational
+
+    plans, kept = [], fixpoint.kept
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    for module in (fixpoint, graph, relational):
+        monkeypatch.setattr(module, "kept", noted)
+    rec = spark.createDataFrame([(0, 1, "import-statement"), (1, 2, "import-statement"), (2, 3, "dynamic-import")], "importer long, importee long, kind string")
+    ent = spark.createDataFrame([(0, 0, 0), (1, 3, 1)], "entry_idx int, module_idx long, kind int")
+    mod = spark.createDataFrame([(i, 100, f"m{i}", "p", "js", False) for i in range(4)], "module_idx long, size long, id string, package_id string, module_type string, has_side_effects boolean")
+    reached = graph.reach(ent, graph.edges_of(rec))
+    chunks = relational.chunk_modules(mod, rec, ent, reached)
+    assert {(r.module_idx, tuple(r.entry_set)) for r in chunks.collect()} == {(0, (0,)), (1, (0,)), (2, (0,)), (3, (0, 1))}
+    targets = relational.merge_targets(chunks, rec, ent, reached)
+    assert targets.count() == 1
+    assert relational.merge_targets(chunks, rec, ent).collect() == targets.collect()
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (chunks, targets, relational.chunk_edges(rec, chunks))]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
